@@ -12,6 +12,7 @@ from virocohort.functions import sequence as sq
 from virocohort.operators import intervals as iv
 from virocohort.operators.ordering import ordinal, running_total
 from virocohort.rules import genetics as g
+from virocohort.session import cut_lineage
 
 # fixed values of the start-scoring heuristic
 MIN_CDS_NT = 90
@@ -99,7 +100,7 @@ def start_context(contigs: DataFrame, primary: DataFrame, secondary: DataFrame)
         (t * t * (3 - 2 * t)).alias("adaptation"), F.when(sparse, 0.0).otherwise(1.0).alias("sd_weight"), sparse.alias("sd_sparse"))
 
 
-def upstream_gap(candidates: DataFrame, genes: DataFrame, id_col: str, size: int = 1000) -> DataFrame:
+def upstream_gap(candidates: DataFrame, genes: DataFrame, size: int = 1000) -> DataFrame:
     """OR04: distance from the preceding same-strand gene, per candidate (``left``, ``right``).
 
     The preceding gene starts before the candidate and ends before its stop; of several, the one
@@ -108,27 +109,25 @@ def upstream_gap(candidates: DataFrame, genes: DataFrame, id_col: str, size: int
     """
     keys = ["genome_id", "strand"]
     genes = genes.select(*keys, F.col("left").alias("a"), F.col("right").alias("b"))
-    widest = genes.groupBy(*keys).agg(F.max(F.col("b") - F.col("a")).alias("widest"), F.max(F.floor(F.col("a") / size)).alias("top"))
-    cands = candidates.select(*keys, id_col, "left", "right").join(widest, keys)
-    low = F.greatest(F.lit(0), F.floor((F.col("left") - F.col("widest")) / size))
-    cands = cands.withColumn("low", low)
-    near = (
-        cands.withColumn("bin", F.explode(F.sequence("low", F.greatest("low", F.floor(F.col("left") / size)))))
-        .join(genes.withColumn("bin", F.floor(F.col("a") / size)), [*keys, "bin"])
-        .where("a < left and b < right")
-        .groupBy(*keys, id_col).agg(F.max(F.struct("a", "b")).alias("near"))
-    )
+    extent = genes.groupBy(*keys).agg(F.max(F.col("b") - F.col("a")).alias("__wide"), F.max(F.floor(F.col("a") / size)).alias("__top"))
+    low = F.least(F.col("__top") + 1, F.greatest(F.lit(0), F.floor((F.col("left") - F.col("__wide")) / size)))
+    cands = candidates.join(extent, keys, "left").withColumn("__low", low)
+    reach = F.sequence("__low", F.greatest(F.col("__low"), F.least(F.col("__top"), F.floor(F.col("left") / size))))
+    cands = cands.withColumn("__bin", F.explode_outer(reach))
+    binned = genes.select(*[F.col(k).alias("__" + k) for k in keys], F.floor(F.col("a") / size).alias("__gbin"), "a", "b")
+    same = (F.col("genome_id") == F.col("__genome_id")) & (F.col("strand") == F.col("__strand")) & (F.col("__bin") == F.col("__gbin"))
+    before = (F.col("a") < F.col("left")) & (F.col("b") < F.col("right"))
+    near = cands.join(binned, same & before, "left").groupBy(*candidates.columns, "__low").agg(
+        F.max(F.when(F.col("a").isNotNull(), F.struct("a", "b"))).alias("__near"))
     per_bin = genes.groupBy(*keys, F.floor(F.col("a") / size).alias("bin")).agg(F.max(F.struct("a", "b")).alias("g"))
     up_to = Window.partitionBy(*keys).orderBy("bin")
     steps = per_bin.select(
-        *keys, "bin", F.max("g").over(up_to.rowsBetween(Window.unboundedPreceding, 0)).alias("far"), F.lead("bin").over(up_to).alias("next"))
-    tops = cands.groupBy(*keys).agg(F.max("low").alias("last_low"))
-    steps = steps.join(tops, keys).withColumn("next", F.coalesce("next", F.greatest(F.col("last_low"), F.col("bin") + 1)))
-    steps = steps.select(*keys, "far", F.explode(F.sequence(F.col("bin") + 1, "next")).alias("low"))
-    out = cands.join(near, [*keys, id_col], "left").join(steps, [*keys, "low"], "left")
-    best = F.coalesce("near", "far")
-    gaps = out.select(*keys, id_col, (F.col("left") - best["b"]).cast("bigint").alias("upstream_gap"))
-    return candidates.join(gaps, [*keys, id_col], "left")
+        *keys, "bin", F.max("g").over(up_to.rowsBetween(Window.unboundedPreceding, 0)).alias("__far"),
+        F.coalesce(F.lead("bin").over(up_to), F.col("bin") + 1).alias("next"))
+    steps = steps.select(*keys, "__far", F.explode(F.sequence(F.col("bin") + 1, "next")).alias("__low"))
+    out = near.join(steps, [*keys, "__low"], "left")
+    best = F.coalesce("__near", "__far")
+    return out.select(*candidates.columns, (F.col("left") - best["b"]).cast("bigint").alias("upstream_gap"))
 
 
 def codon_prior(codon: Column) -> Column:
@@ -168,7 +167,7 @@ def candidate_starts(contigs: DataFrame, primary: DataFrame, secondary: DataFram
         rows = rows.join(known, ["genome_id", "s", "e", "strand"], "left")
     else:
         rows = rows.withColumn("homology", F.lit(None).cast("boolean"))
-    rows = upstream_gap(rows, genes, "cand_id")
+    rows = upstream_gap(rows, genes)
     seqs = contigs.select("genome_id", F.upper("seq").alias("seq"))
     rows = rows.join(seqs, "genome_id").join(start_context(contigs, primary, secondary), "genome_id")
     view = sq.StrandView(F.col("seq"), F.length("seq"), F.col("strand"))
@@ -318,13 +317,11 @@ def initiator_guard(primary: DataFrame, secondary: DataFrame, contigs: DataFrame
         F.when(change, F.col("alt.alt_e")).otherwise(F.col("e")).alias("new_end"))
 
 
-def gap_eligible(candidates: DataFrame, genes: DataFrame, id_col: str) -> DataFrame:
-    """Candidates that overlap no gene by more than four bases and are not nested either way."""
+def blocked_candidates(candidates: DataFrame, genes: DataFrame, id_col: str) -> DataFrame:
+    """Ids of candidates that overlap a gene by more than four bases or are nested either way."""
     hits = iv.overlap_join(candidates.select("genome_id", id_col, "s", "e"),
                            genes.select("genome_id", F.col("s").alias("gs"), F.col("e").alias("ge")), ["genome_id"], ("s", "e"), ("gs", "ge"))
-    blocked = hits.where("overlap > 4 or (s <= gs and e >= ge) or (gs <= s and ge >= e)").select("genome_id", id_col).distinct()
-    return candidates.join(blocked.withColumn("__b", F.lit(True)), ["genome_id", id_col], "left").withColumn(
-        "gap_eligible", F.col("__b").isNull()).drop("__b")
+    return hits.where("overlap > 4 or (s <= gs and e >= ge) or (gs <= s and ge >= e)").select("genome_id", id_col).distinct()
 
 
 def rescue_candidates(contigs: DataFrame, genes: DataFrame, rna: DataFrame | None = None, anchors: DataFrame | None = None) -> DataFrame:
@@ -334,12 +331,15 @@ def rescue_candidates(contigs: DataFrame, genes: DataFrame, rna: DataFrame | Non
     starts = stop_starts(contigs, RESCUE_NT[0]).where(F.col("right") - F.col("left") <= RESCUE_NT[1])
     starts = starts.join(placed.select("genome_id", "strand", "right").distinct(), ["genome_id", "strand", "right"], "left_anti")
     starts = starts.withColumn("cand_id", F.concat_ws("|", "genome_id", "strand", "left", "right"))
-    rows = upstream_gap(starts, placed, "cand_id").join(contigs.select("genome_id", F.upper("seq").alias("seq")), "genome_id")
+    rows = upstream_gap(starts, placed).join(contigs.select("genome_id", F.upper("seq").alias("seq")), "genome_id")
     view = sq.StrandView(F.col("seq"), F.length("seq"), F.col("strand"))
     rows = rows.withColumn("coupling_score", sq.coupling_score(view, F.col("left"), F.col("upstream_gap"))).withColumn(
         "__w", sq.rbs_window(view, F.col("left"))).drop("seq").withColumn("rbs_score", sq.rbs(F.col("__w"))["score"]).drop("__w")
-    rows = gap_eligible(rows, genes, "cand_id")
-    rows = iv.uncovered_length(rows, genes.select("genome_id", F.col("s").alias("gs"), F.col("e").alias("ge")), ["genome_id"], "cand_id", ("s", "e"), ("gs", "ge"))
+    blocked = blocked_candidates(starts, genes, "cand_id").withColumn("__b", F.lit(True))
+    free = iv.uncovered_length(starts.select("genome_id", "cand_id", "s", "e"), genes.select("genome_id", F.col("s").alias("gs"), F.col("e").alias("ge")),
+                               ["genome_id"], "cand_id", ("s", "e"), ("gs", "ge")).select("genome_id", "cand_id", "uncovered")
+    rows = rows.join(blocked, ["genome_id", "cand_id"], "left").withColumn("gap_eligible", F.col("__b").isNull()).drop("__b")
+    rows = rows.join(free, ["genome_id", "cand_id"])
     if rna is not None:
         hit = iv.overlap_join(rows.select("genome_id", "cand_id", "s", "e"), rna.select("genome_id", F.col("s").alias("rs"), F.col("e").alias("re")),
                               ["genome_id"], ("s", "e"), ("rs", "re")).select("genome_id", "cand_id").distinct()
@@ -372,6 +372,7 @@ def accept_short_orfs(candidates: DataFrame) -> DataFrame:
     Only eligible rows reach the grouped map.  They are first cut into clusters of overlapping
     candidates, which cannot influence one another, so a group is a few rows whatever the genome.
     """
+    candidates = cut_lineage(candidates)  # read several times below
     eligible = candidates.where("eligible").select("genome_id", "cand_id", "strand", "s", "e", "right", "score", "uncovered")
     clusters = interval_clusters(eligible, ["genome_id"])
 
