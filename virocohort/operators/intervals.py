@@ -175,7 +175,7 @@ def neighbour_overlaps(df: DataFrame, keys: Sequence[str], id_col: str, start: s
     pairs = self_overlap(df, keys, id_col, start, end, size)
     order = lambda x: F.struct(F.col(start + x), F.col(end + x), F.col(strand + x), F.col(id_col + x))
     first = order("_a") <= order("_b")
-    pick = lambda name, flip: F.when(first ^ F.lit(flip), F.col(name + "_a")).otherwise(F.col(name + "_b"))
+    pick = lambda name, flip: F.when(~first if flip else first, F.col(name + "_a")).otherwise(F.col(name + "_b"))
     sides = pairs.select(
         *keys,
         pick(id_col, False).alias("left_id"), pick(id_col, True).alias("right_id"),

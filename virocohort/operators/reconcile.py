@@ -60,10 +60,8 @@ def loci(members: DataFrame) -> DataFrame:
 
 def coordinate_groups(members: DataFrame) -> DataFrame:
     """IV06: candidates of a locus grouped by exact model, start, stop and strand, in long form."""
-    keys = F.explode(F.array(
-        F.struct(F.lit("exact").alias("kind"), F.concat_ws("|", F.col("s"), F.col("e"), F.col("strand")).alias("key")),
-        F.struct(F.lit("start"), F.col("s").cast("string")), F.struct(F.lit("stop"), F.col("e").cast("string")),
-        F.struct(F.lit("strand"), F.col("strand"))))
+    kinds = {"exact": F.concat_ws("|", "s", "e", "strand"), "start": F.col("s").cast("string"), "stop": F.col("e").cast("string"), "strand": F.col("strand")}
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in kinds.items()]))
     long = members.select("genome_id", "component", "model_id", "provider", keys.alias("k"))
     return long.groupBy("genome_id", "component", F.col("k.kind").alias("group_kind"), F.col("k.key").alias("group_key")).agg(
         F.count("*").alias("candidates"), F.min("model_id").alias("first_candidate"),

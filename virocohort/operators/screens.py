@@ -26,36 +26,37 @@ def split_regulatory(features: DataFrame, cds: DataFrame) -> DataFrame:
 
 
 def aligned_positions(hsps: DataFrame) -> DataFrame:
-    """IV17: base pairs of gapped alignments (hsp_id, qs, qe, ss, se, qseq, sseq) as (s_pos, q_pos)."""
+    """IV17: base pairs of gapped alignments (hsp_id, genome_id, reference_id, qs, qe, ss, se,
+    qseq, sseq) as (s_pos, q_pos)."""
     cols = F.arrays_zip(F.split("qseq", "").alias("q"), F.split("sseq", "").alias("t"))
-    long = hsps.select("hsp_id", "reference_id", "qs", "ss", F.when(F.col("qe") >= F.col("qs"), 1).otherwise(-1).alias("qd"),
+    long = hsps.select("hsp_id", "genome_id", "reference_id", "qs", "ss", F.when(F.col("qe") >= F.col("qs"), 1).otherwise(-1).alias("qd"),
                        F.when(F.col("se") >= F.col("ss"), 1).otherwise(-1).alias("sd"), F.posexplode(cols).alias("i", "c")).where("c.q <> '' and c.t <> ''")
     upto = Window.partitionBy("hsp_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     nth = lambda side: F.count_if(F.col("c." + side) != "-").over(upto) - 1
     long = long.withColumn("qn", nth("q")).withColumn("sn", nth("t")).where("c.q <> '-' and c.t <> '-'")
-    return long.select("hsp_id", "reference_id", (F.col("qd") * F.col("sd")).alias("orientation"),
+    return long.select("hsp_id", "genome_id", "reference_id", (F.col("qd") * F.col("sd")).alias("orientation"),
                        (F.col("ss") + F.col("sd") * F.col("sn")).alias("s_pos"), (F.col("qs") + F.col("qd") * F.col("qn")).alias("q_pos"))
 
 
 def project_reference_cds(positions: DataFrame, reference_cds: DataFrame, cds: DataFrame, bin_size: int = 1000) -> DataFrame:
     """IV17: carry reference genes through one alignment and compare with the called genes.
 
-    reference_cds: reference_id, gene, rs, re, rstrand (+1/-1); cds: model_id, s, e, strand.
+    reference_cds: reference_id, gene, rs, re, rstrand (+1/-1); cds: genome_id, model_id, s, e, strand.
     """
     genes = iv.explode_bins(reference_cds, "rs", "re", bin_size, "bin")
     placed = positions.withColumn("bin", iv.bin_of(F.col("s_pos"), bin_size)).join(genes, ["reference_id", "bin"]).where("s_pos between rs and re")
-    whole = placed.groupBy("reference_id", "gene", "rs", "re", "rstrand", "hsp_id", "orientation").agg(
+    whole = placed.groupBy("genome_id", "reference_id", "gene", "rs", "re", "rstrand", "hsp_id", "orientation").agg(
         F.count("*").alias("n"), F.max(F.when(F.col("s_pos") == F.col("rs"), F.col("q_pos"))).alias("q0"),
         F.max(F.when(F.col("s_pos") == F.col("re"), F.col("q_pos"))).alias("q1")).where("n = re - rs + 1")
     shot = F.struct(F.least("q0", "q1").alias("s"), F.greatest("q0", "q1").alias("e"), (F.col("rstrand") * F.col("orientation")).alias("d"))
-    per_gene = whole.groupBy("reference_id", "gene", "rs", "re").agg(F.min(shot).alias("lo"), F.max(shot).alias("hi"))
-    single = per_gene.where("lo = hi").select("reference_id", "gene", "rs", "re", F.col("lo.s").alias("qs"), F.col("lo.e").alias("qe"),
+    per_gene = whole.groupBy("genome_id", "reference_id", "gene", "rs", "re").agg(F.min(shot).alias("lo"), F.max(shot).alias("hi"))
+    single = per_gene.where("lo = hi").select("genome_id", "reference_id", "gene", "rs", "re", F.col("lo.s").alias("qs"), F.col("lo.e").alias("qe"),
                                               F.when(F.col("lo.d") == 1, "+").otherwise("-").alias("strand"))
-    hits = iv.overlap_join(single, cds.select("model_id", "s", "e", "strand"), ["strand"], ("qs", "qe"), ("s", "e")).groupBy("reference_id", "gene").agg(
+    hits = iv.overlap_join(single, cds.select("genome_id", "model_id", "s", "e", "strand"), ["genome_id", "strand"], ("qs", "qe"), ("s", "e")).groupBy("genome_id", "reference_id", "gene").agg(
         F.count("*").alias("hits"), F.bool_or((F.col("s") == F.col("qs")) & (F.col("e") == F.col("qe"))).alias("exact"))
     out = reference_cds.select("reference_id", "gene", "rs", "re").join(
-        per_gene.select("reference_id", "gene", (F.col("lo") != F.col("hi")).alias("ambiguous"), F.col("lo.s").alias("query_start"), F.col("lo.e").alias("query_end")),
-        ["reference_id", "gene"], "left").join(hits, ["reference_id", "gene"], "left")
+        per_gene.select("genome_id", "reference_id", "gene", (F.col("lo") != F.col("hi")).alias("ambiguous"), F.col("lo.s").alias("query_start"), F.col("lo.e").alias("query_end")),
+        ["reference_id", "gene"], "left").join(hits, ["genome_id", "reference_id", "gene"], "left")
     status = (
         F.when(F.col("ambiguous").isNull(), "UNMAPPABLE_REFERENCE_CDS")
         .when(F.col("ambiguous"), "AMBIGUOUS_REFERENCE_MAPPING")
@@ -115,7 +116,7 @@ def nearest_start(points: DataFrame, calls: DataFrame, keys: list[str], point_id
         *keys, F.col("slot").alias("bin"),
         F.when(F.col("slot") > F.col("bin"), F.col("last")).when(F.col("slot") == F.col("bin"), F.col("before")).alias("lo"),
         F.when(F.col("slot") < F.col("bin"), F.col("first")).otherwise(F.col("after")).alias("hi"))
-    pts = points.select(*keys, point_id, F.col("s").alias("ps")).withColumn("bin", F.floor(F.col("s") / size))
+    pts = points.select(*keys, point_id, F.col("s").alias("ps")).withColumn("bin", F.floor(F.col("ps") / size))
     flat = lambda side: pts.join(served, [*keys, "bin"]).where(side + " is not null").select(*keys, point_id, "ps", side + ".cs", side + ".call_id")
     inside = pts.join(b, [*keys, "bin"]).select(*keys, point_id, "ps", "cs", "call_id")
     every = inside.unionByName(flat("lo")).unionByName(flat("hi"))

@@ -23,7 +23,7 @@ DESCRIPTIONS = """(values
  ('STANDARD',0,'tail fiber protein'),('STANDARD',1,'Minor tail protein'),('STANDARD',2,'tail protein'),
  ('MEDIUM',0,'terminase large subunit'),('MEDIUM',1,'terminase'),('MEDIUM',2,'DNA helicase'),
  ('PROMO',0,'hypothetical protein'),('PROMO',1,'DUF1234 family protein'),('PROMO',2,'gp12'),
- ('LARGE',0,'sp|P12345|ENLYS_BPT4 endolysin {ECO:0000255}'),('LARGE',1,'endolysin gp144'),('LARGE',2,'putative Rz1 spanin'),
+ ('LARGE',0,'sp|P12345|ENLYS_BPT4 endolysin {{ECO:0000255}}'),('LARGE',1,'endolysin gp144'),('LARGE',2,'putative Rz1 spanin'),
  ('SMALL',0,'Interferon regulatory factor'),('SMALL',1,'BCS1 AAA ATPase'),('SMALL',2,'mitochondrial carrier'))
  as d(d_type, d_class, d_description)"""
 
