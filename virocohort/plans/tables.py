@@ -19,12 +19,12 @@ PLACE = "(l_partkey*97+l_linenumber*31+l_orderkey*13)"
 
 # part type and size class -> a product description of the kind search databases return
 DESCRIPTIONS = """(values
- ('ECONOMY',0,'major head protein'),('ECONOMY',1,'Major capsid protein'),('ECONOMY',2,'capsid'),
- ('STANDARD',0,'tail fiber protein'),('STANDARD',1,'Minor tail protein'),('STANDARD',2,'tail protein'),
- ('MEDIUM',0,'terminase large subunit'),('MEDIUM',1,'terminase'),('MEDIUM',2,'DNA helicase'),
- ('PROMO',0,'hypothetical protein'),('PROMO',1,'DUF1234 family protein'),('PROMO',2,'gp12'),
- ('LARGE',0,'sp|P12345|ENLYS_BPT4 endolysin {{ECO:0000255}}'),('LARGE',1,'endolysin gp144'),('LARGE',2,'putative Rz1 spanin'),
- ('SMALL',0,'Interferon regulatory factor'),('SMALL',1,'BCS1 AAA ATPase'),('SMALL',2,'mitochondrial carrier'))
+ ('ECONOMY',0,'major head protein'),('ECONOMY',1,'Major capsid protein'),('ECONOMY',2,'capsid'),('ECONOMY',3,'helix-turn-helix domain'),
+ ('STANDARD',0,'tail fiber protein'),('STANDARD',1,'Minor tail protein'),('STANDARD',2,'tail protein'),('STANDARD',3,'transcriptional regulator'),
+ ('MEDIUM',0,'terminase large subunit'),('MEDIUM',1,'terminase'),('MEDIUM',2,'DNA helicase'),('MEDIUM',3,'integrase'),
+ ('PROMO',0,'hypothetical protein'),('PROMO',1,'DUF1234 family protein'),('PROMO',2,'gp12'),('PROMO',3,'conserved protein of unknown function'),
+ ('LARGE',0,'sp|P12345|ENLYS_BPT4 endolysin {{ECO:0000255}}'),('LARGE',1,'endolysin gp144'),('LARGE',2,'putative Rz1 spanin'),('LARGE',3,'OPG44 kelch protein'),
+ ('SMALL',0,'Interferon regulatory factor'),('SMALL',1,'BCS1 AAA ATPase'),('SMALL',2,'mitochondrial carrier'),('SMALL',3,'Excisionase and transcriptional regulator'))
  as d(d_type, d_class, d_description)"""
 
 PROJECTIONS = {
@@ -60,9 +60,10 @@ PROJECTIONS = {
                l_quantity * 4 bits, cast(20 + 2 * cast(l_quantity as int) as bigint) aln_len,
                d_description description, concat(lower(p_brand), '_', cast(p_size % 5 as varchar(10))) identifier,
                case when l_returnflag = 'R' then 'Escherichia phage T4' else 'Homo sapiens' end organism,
-               l_linestatus = 'F' reviewed
+               l_linestatus = 'F' reviewed, concat('gene', cast(p_size % 3 as varchar(10))) gene,
+               case when l_linenumber % 4 = 0 and l_returnflag = 'A' then 'integration and excision' when l_returnflag = 'N' then 'unknown' end category
         from {{lineitem}} join {{part}} on l_partkey = p_partkey
-             join {DESCRIPTIONS} on p_type = d_type and p_size % 3 = d_class""",
+             join {DESCRIPTIONS} on p_type = d_type and p_size % 4 = d_class""",
     "classified": """
         select concat('P', cast(o_orderkey as varchar(20))) protein_id,
                concat('G', cast(o_custkey as varchar(20))) genome_id,
