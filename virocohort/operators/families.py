@@ -1,9 +1,358 @@
-"""Placeholder."""
+"""Protein families and cohort discovery (FM01-FM22)."""
+
 from __future__ import annotations
-from pyspark.sql import DataFrame, Window
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from virocohort.functions.labels import unresolved
+from virocohort.operators.components import connected_components
+from virocohort.operators.ordering import ordinal, running_total, with_neighbours
+from virocohort.rules.fusion import UNKNOWN_STATES
+from virocohort.session import cut_lineage
 
-def top_per_group(df: DataFrame, keys, order, k: int, name: str = "rank") -> DataFrame:
+
+def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows per key; the limit runs before the shuffle as well as after it."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
+
+
+def numbered(df: DataFrame, sha: str, name: str = "number", first: Column | int = 1) -> DataFrame:
+    """Dense numbers in order of a hexadecimal hash, by 4096 hash ranges instead of one sorted task."""
+    at = df.withColumn("__at", F.conv(F.substring(sha, 1, 4), 16, 10).cast("bigint"))
+    out = running_total(at, [], "__at", [sha], F.lit(1), "__n", 16)
+    return out.withColumn(name, F.col("__n") + (F.lit(first) - 1 if isinstance(first, int) else first - 1)).drop("__at", "__n")
+
+
+def pmf(number: Column) -> Column:
+    return F.concat(F.lit("PMF-"), F.lpad(number.cast("string"), 6, "0"))
+
+
+def exact_families(members: DataFrame) -> DataFrame:
+    """FM01: one family per distinct sequence (member_id, genome_id, sha), numbered in hash order."""
+    fam = members.groupBy("sha").agg(F.min("member_id").alias("representative"), F.count("*").alias("member_count"), F.count_distinct("genome_id").alias("genome_count"))
+    return numbered(fam, "sha").withColumn("family_id", pmf(F.col("number"))).drop("number")
+
+
+def shingles(text: Column, width: int = 8, chunk: int = 256) -> Column:
+    """Distinct hashed substrings of the whole text, cut from short overlapping pieces so that the work
+    stays linear in its length."""
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.length(text) - width) / chunk).cast("int")),
+                         lambda c: F.substring(text, c * chunk + 1, F.lit(chunk + width - 1)))
+    words = F.transform(pieces, lambda p: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(p) - (width - 1))), lambda i: F.xxhash64(F.substring(p, i, F.lit(width)))))
+    return F.array_distinct(F.flatten(words))
+
+
+def similarity_edges(members: DataFrame, min_identity: float = 0.3, min_coverage: float = 0.5, keys_per_member: int = 20, width: int = 8) -> DataFrame:
+    """FM02: links between similar sequences without comparing all members of a group.
+
+    Every member offers its smallest shingle hashes; members sharing one are linked only to the
+    longest of them, so a shingle held by n members yields n links, not n*n.  Links are kept after
+    comparing the full shingle sets: shared share of the smaller set for identity, length ratio for
+    coverage.  Columns: member_id, text.
+    """
+    sets = cut_lineage(members.select("member_id", F.length("text").alias("len"), shingles(F.col("text"), width).alias("sh")))
+    keys = sets.select("member_id", "len", F.explode(F.slice(F.array_sort("sh"), 1, keys_per_member)).alias("key"))
+    centre = keys.groupBy("key").agg(F.max(F.struct("len", "member_id")).alias("c")).select("key", F.col("c.member_id").alias("centre"))
+    pairs = keys.join(centre, "key").where("member_id <> centre").select("member_id", "centre").distinct()
+    a = sets.select("member_id", F.col("len").alias("la"), F.col("sh").alias("sa"))
+    b = sets.select(F.col("member_id").alias("centre"), F.col("len").alias("lb"), F.col("sh").alias("sb"))
+    both = pairs.join(a, "member_id").join(b, "centre").where(F.least("la", "lb") / F.greatest("la", "lb") >= min_coverage)
+    shared = F.size(F.array_intersect("sa", "sb")) / F.least(F.size("sa"), F.size("sb"))
+    return both.withColumn("similarity", shared).where(F.col("similarity") >= min_identity).select(F.col("member_id").alias("u"), F.col("centre").alias("v"), "similarity")
+
+
+def similarity_families(members: DataFrame, **limits) -> DataFrame:
+    """FM02/FM03: distinct texts clustered by similarity; copies join their text's family."""
+    texts = members.groupBy(F.md5("text").alias("sha")).agg(F.min("member_id").alias("member_id"), F.min("text").alias("text"))
+    families = connected_components(texts.select("member_id", "sha"), similarity_edges(texts, **limits), "member_id")
+    return members.withColumn("sha", F.md5("text")).join(families.select("sha", "component"), "sha").drop("text")
+
+
+def imported_families(clusters: DataFrame) -> DataFrame:
+    """FM02/FM03: clusters of an outside tool (representative, member) as families by component."""
+    nodes = clusters.select(F.col("member").alias("member_id")).unionByName(clusters.select(F.col("representative").alias("member_id"))).distinct()
+    return connected_components(nodes, clusters.select(F.col("member").alias("u"), F.col("representative").alias("v")), "member_id")
+
+
+def stable_ids(families: DataFrame, members: DataFrame, registry: DataFrame, registry_members: DataFrame) -> DataFrame:
+    """FM04: keep family ids across builds: same representative, else the one family sharing members, else new.
+
+    families: sha; members: sha, member_id; registry: family_id, sha; registry_members: family_id, member_id.
+    """
+    by_sha = registry.select("sha", F.col("family_id").alias("same"))
+    touch = members.join(registry_members, "member_id").groupBy("sha").agg(F.min("family_id").alias("lo"), F.max("family_id").alias("hi"))
+    out = families.join(by_sha, "sha", "left").join(touch, "sha", "left")
+    out = out.withColumn("old", F.coalesce("same", F.when(F.col("lo") == F.col("hi"), F.col("lo"))))
+    top = registry.agg(F.coalesce(F.max(F.substring("family_id", 5, 20).cast("bigint")), F.lit(0)).alias("top"))
+    fresh = numbered(out.where("old is null").select("sha"), "sha").select("sha", pmf(F.col("number") + top.scalar()).alias("new"))
+    return out.join(fresh, "sha", "left").select(
+        "sha", F.coalesce("old", "new").alias("family_id"), F.when(F.col("same").isNotNull(), "SAME_REPRESENTATIVE").when(F.col("old").isNotNull(), "SHARED_MEMBERS").otherwise("NEW").alias("origin"))
+
+
+def assign_families(proteins: DataFrame, hits: DataFrame, min_identity=0.3, min_qcov=0.5, min_tcov=0.5, max_evalue=1e-3, margin=0.02) -> DataFrame:
+    """FM05: best family per protein; another family within the margin makes it ambiguous."""
+    good = hits.where((F.col("identity") >= min_identity) & (F.col("query_coverage") >= min_qcov) & (F.col("target_coverage") >= min_tcov) & (F.col("evalue") <= max_evalue))
+    best = good.groupBy("protein_id").agg(F.max("bits").alias("best"), F.min(F.struct((-F.col("bits")).alias("b"), "family_id")).alias("t"))
+    near = good.join(best, "protein_id").where(F.col("best") - F.col("bits") <= margin * F.greatest(F.abs("best"), F.lit(1.0)))
+    agg = near.groupBy("protein_id").agg(F.count("*").alias("candidates"), F.first("t.family_id").alias("family"), F.first("best").alias("best_bits"))
+    status = F.when(F.col("candidates").isNull(), "NO_FAMILY_MATCH").when(F.col("candidates") == 1, "CONFIDENT_FAMILY_MATCH").otherwise("AMBIGUOUS_FAMILY_MATCH")
+    return proteins.select("protein_id").join(agg, "protein_id", "left").select(
+        "protein_id", F.when(F.col("candidates") == 1, F.col("family")).alias("family_id"), status.alias("assignment_status"), F.coalesce("candidates", F.lit(0)).alias("candidates"), "best_bits")
+
+
+def copies(members: DataFrame) -> DataFrame:
+    """FM06: copies of each family in each genome, long form."""
+    return members.groupBy("family_id", "genome_id").agg(F.count("*").alias("copies"))
+
+
+def presence_matrix(members: DataFrame, genomes: Sequence[str]) -> DataFrame:
+    """FM06: family by genome counts as columns, for a stated list of genomes."""
+    wide = copies(members).groupBy("family_id").pivot("genome_id", list(genomes)).agg(F.sum("copies"))
+    return wide.fillna(0)
+
+
+def genome_sharing(members: DataFrame, min_shared: int = 1) -> DataFrame:
+    """FM07: shared and private families of genome pairs that share at least ``min_shared``.
+
+    Pairs sharing nothing follow from the genome sizes and are not materialised.
+    """
+    pa = members.select("genome_id", "family_id").distinct()
+    sizes = members.groupBy("genome_id").agg(F.count("*").alias("proteins"), F.count_distinct("family_id").alias("families"))
+    a, b = pa.select("family_id", F.col("genome_id").alias("genome_a")), pa.select("family_id", F.col("genome_id").alias("genome_b"))
+    pairs = a.join(b, "family_id").where("genome_a < genome_b").groupBy("genome_a", "genome_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
+    side = lambda x: sizes.select(F.col("genome_id").alias("genome_" + x), F.col("proteins").alias("proteins_" + x), F.col("families").alias("families_" + x))
+    out = pairs.join(side("a"), "genome_a").join(side("b"), "genome_b")
+    union = F.col("families_a") + F.col("families_b") - F.col("shared")
+    return out.select("genome_a", "genome_b", "proteins_a", "proteins_b", F.col("shared").alias("shared_pmf_count"), (F.col("families_a") - F.col("shared")).alias("private_a_count"),
+                      (F.col("families_b") - F.col("shared")).alias("private_b_count"), (F.col("shared") / union).alias("jaccard_similarity"))
+
+
+def core_families(members: DataFrame, genomes: Sequence[str] | None = None) -> DataFrame:
+    """FM08: families present in every genome, or in every listed genome."""
+    if genomes is not None:
+        chosen = members.where(F.col("genome_id").isin(*genomes))
+        return chosen.groupBy("family_id").agg(F.count_distinct("genome_id").alias("genomes")).where(F.col("genomes") == len(set(genomes)))
+    total = members.agg(F.count_distinct("genome_id").alias("n"))
+    return members.groupBy("family_id").agg(F.count_distinct("genome_id").alias("genomes")).where(F.col("genomes") == total.scalar())
+
+
+def size_statistics(members: DataFrame) -> DataFrame:
+    """FM09: size distribution of families; totals are sums over it."""
+    sizes = members.groupBy("family_id").agg(F.count("*").alias("size"))
+    return sizes.groupBy("size").agg(F.count("*").alias("families"), F.sum("size").alias("proteins"))
+
+
+def host_groups(members: DataFrame, first: str = "Pseudomonas", second: str = "Salmonella") -> DataFrame:
+    """FM10: which of two host groups a family was observed in."""
+    seen = members.where("host_genus is not null").groupBy("family_id").agg(
+        F.bool_or(F.col("host_genus") == first).alias("a"), F.bool_or(F.col("host_genus") == second).alias("b"), F.bool_or(~F.col("host_genus").isin(first, second)).alias("other"))
+    only = lambda g: F.lit(f"OBSERVED_IN_{g.upper()}_COHORT_ONLY")
+    state = (
+        F.when(F.col("a") & ~F.col("b") & ~F.col("other"), only(first)).when(F.col("b") & ~F.col("a") & ~F.col("other"), only(second))
+        .when(F.col("a") | F.col("b"), "CROSS_HOST_COHORT").otherwise("HOST_METADATA_INCOMPLETE")
+    )
+    return members.select("family_id").distinct().join(seen, "family_id", "left").select("family_id", F.coalesce(state, F.lit("HOST_METADATA_INCOMPLETE")).alias("host_group_observation"))
+
+
+def sensitivity(builds: dict[float, DataFrame]) -> DataFrame:
+    """FM11: one summary row per family build (member tables keyed by their threshold)."""
+    rows = []
+    for threshold, members in sorted(builds.items()):
+        sizes = members.groupBy("family_id").agg(F.count("*").alias("size"))
+        rows.append(sizes.agg(F.lit(threshold).alias("minimum_identity"), F.count("*").alias("total_families"), F.count_if(F.col("size") == 1).alias("singleton_families"),
+                              F.count_if(F.col("size") > 1).alias("multi_member_families"), F.max("size").alias("largest_family_size")))
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
+    return out
+
+
+def functional_enrichment(members: DataFrame) -> DataFrame:
+    """FM12: functional status of a family from its members' annotations (family_id, genome_id, annotation).
+
+    A family is missing metadata when no member has an annotation; the order of members plays no part.
+    """
+    text = F.lower("annotation")
+    vague = text.contains("hypothetical") | text.contains("unknown") | text.contains("uncharacterized")
+    has = F.col("annotation").isNotNull() & (F.col("annotation") != "")
+    g = members.groupBy("family_id").agg(
+        F.count("*").alias("member_count"), F.count_distinct("genome_id").alias("genome_count"), F.count_if(has).alias("named"),
+        F.min(F.when(has, text)).alias("lo"), F.max(F.when(has, text)).alias("hi"), F.bool_and(F.when(has, vague)).alias("all_vague"), F.min(F.when(has, F.col("annotation"))).alias("first"))
+    status = (
+        F.when(F.col("named") == 0, "MISSING_ANNOTATION_METADATA").when((F.col("lo") == F.col("hi")) & ~F.col("all_vague"), "KNOWN_CONSISTENT")
+        .when(F.col("all_vague"), F.when(F.col("member_count") == 1, "UNKNOWN_SINGLETON").when(F.col("genome_count") > 1, "UNKNOWN_MULTI_GENOME").otherwise("UNKNOWN_MULTI_MEMBER"))
+        .otherwise("CONFLICTING_MEMBER_ANNOTATIONS")
+    )
+    return g.select("family_id", "member_count", "genome_count", status.alias("family_functional_status"),
+                    F.when(status == "KNOWN_CONSISTENT", F.col("first")).otherwise("").alias("consensus_annotation"))
+
+
+def unresolved_priority(enriched: DataFrame, k: int | None = None) -> DataFrame:
+    """FM13: families unknown in several genomes, most widespread first (enriched carries source_count)."""
+    rows = enriched.where("family_functional_status = 'UNKNOWN_MULTI_GENOME'")
+    return ranked(rows, [F.desc("genome_count"), F.desc("member_count"), F.desc("source_count"), F.asc("family_id")], k)
+
+
+def ranked(rows: DataFrame, order: Sequence[Column], k: int | None = None) -> DataFrame:
+    """Global rank.  With ``k`` only the leading rows are numbered; without it rows are numbered by
+    genome-count bands, so no task sorts the whole table."""
+    if k is not None:
+        return rows.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return running_total(rows.withColumn("__band", -F.col("genome_count")), [], "__band", order, F.lit(1), "rank", 1).drop("__band")
+
+
+def external_validation(families: DataFrame, hits: DataFrame, metadata: DataFrame) -> DataFrame:
+    """FM14: outside support of each family (hits: family_id, external_id, identity, evalue, bits)."""
+    h = hits.join(metadata, "external_id", "left")
+    status = F.lower(F.coalesce("annotation_status", F.lit("")))
+    char = F.coalesce("characterized", F.lit(False)) | status.isin("experimentally_characterized", "experimentally_validated")
+    ann = F.coalesce("annotation", F.lit("")) != ""
+    vague = status.isin("predicted_uncharacterized", "unknown", "uncharacterized", "hypothetical")
+    predicted = status.isin("predicted_function", "computational_prediction") | (ann & ~char & ~vague)
+    incomplete = F.col("found").isNull() | (~ann & ~char & ~vague)
+    g = h.groupBy("family_id").agg(
+        F.count("*").alias("matches"), F.count_distinct("external_genome").alias("genomes"), F.count_distinct("host_genus").alias("hosts"), F.count_distinct("taxon").alias("taxa"),
+        F.count_if(char).alias("chars"), F.count_if(predicted).alias("preds"), F.count_if(incomplete).alias("incomplete"),
+        F.max_by("external_id", F.struct("bits", (-F.col("evalue")).alias("e"), "external_id")).alias("best_hit"), F.max("bits").alias("best_bits"))
+    out = families.select("family_id").join(g, "family_id", "left")
+    state = (
+        F.when(F.col("matches").isNull(), "NO_EXTERNAL_MATCH").when(F.col("incomplete") > 0, "REFERENCE_METADATA_INCOMPLETE")
+        .when(F.col("chars") == F.col("matches"), "EXTERNAL_CHARACTERIZED_HOMOLOG_FOUND").when(F.col("chars") > 0, "EXTERNAL_MATCHES_MIXED")
+        .when(F.col("preds") > 0, "EXTERNAL_PREDICTED_FUNCTION_HOMOLOG_FOUND").otherwise("EXTERNAL_MATCHES_UNCHARACTERIZED")
+    )
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return out.select("family_id", n("matches").alias("external_match_count"), n("genomes").alias("distinct_external_genomes"), n("hosts").alias("distinct_host_genera"),
+                      n("taxa").alias("distinct_taxonomic_groups"), n("chars").alias("characterized_homolog_count"), n("preds").alias("predicted_function_homolog_count"), "best_hit", "best_bits", state.alias("external_validation_status"))
+
+
+def external_hosts(hits: DataFrame, metadata: DataFrame) -> DataFrame:
+    """FM14: outside proteins and genomes per family and host."""
+    h = hits.join(metadata, "external_id").where("host_genus is not null")
+    return h.groupBy("family_id", "host_genus").agg(F.count("*").alias("external_protein_count"), F.count_distinct("external_genome").alias("external_genome_count"))
+
+
+def cohort_families(proteins: DataFrame) -> DataFrame:
+    """FM15/FM16: composition, dominant state and recurrence of each family.
+
+    proteins: family_id, genome_id, protein_id, functional_state.  Two grouping levels keep hot
+    families combined: first per (family, genome, state), then per family.
+    """
+    cell = proteins.groupBy("family_id", "genome_id", "functional_state").agg(F.count("*").alias("n"), F.min("protein_id").alias("first"))
+    state = cell.groupBy("family_id", "functional_state").agg(F.sum("n").alias("n"))
+    comp = state.groupBy("family_id").agg(
+        F.sum("n").alias("member_count"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "functional_state", F.col("n").cast("string")))), ";").alias("state_composition"),
+        F.min(F.struct((-F.col("n")).alias("a"), "functional_state")).alias("d"), F.sum(F.when(F.col("functional_state").isin(*UNKNOWN_STATES), F.col("n")).otherwise(0)).alias("unknown_member_count"))
+    per_genome = cell.groupBy("family_id", "genome_id").agg(F.sum("n").alias("c"), F.min("first").alias("first"))
+    rec = per_genome.groupBy("family_id").agg(F.count("*").alias("genome_count"), F.sum(F.col("c") - 1).alias("within_genome_duplicate_count"), F.max("c").alias("most_copies"), F.min("first").alias("representative"))
+    recurrence = F.when(F.col("genome_count") > 1, "RECURRENT_ACROSS_GENOMES").when(F.col("member_count") > 1, "REPEATED_WITHIN_ONE_GENOME").otherwise("SINGLE_GENOME_SINGLE_COPY")
+    return comp.join(rec, "family_id").select(
+        "family_id", "representative", "member_count", "genome_count", "state_composition", F.col("d.functional_state").alias("dominant_functional_state"),
+        (F.col("member_count") - F.col("unknown_member_count")).alias("characterized_member_count"), "unknown_member_count", "within_genome_duplicate_count", "most_copies", recurrence.alias("recurrence_state"))
+
+
+def conserved_neighbourhoods(proteins: DataFrame, reach: int = 2) -> DataFrame:
+    """FM17: whether the genes around a family's members are the same families in every genome."""
+    rows = ordinal(proteins.select("genome_id", "protein_id", "s", "e", "family_id"), ["genome_id"], "s", ["s", "e", "protein_id"])
+    offsets = [o for o in range(-reach, reach + 1) if o]
+
+    def build(frame):
+        near = [F.struct(F.lit(o).alias("offset"), F.lead("family_id", o).over(frame.ordered).alias("pmf")) for o in offsets]
+        return {"near": F.array(*near)}
+
+    rows = with_neighbours(rows, ["genome_id"], "idx", reach, build)
+    genomes = rows.groupBy("family_id").agg(F.count_distinct("genome_id").alias("genomes_compared"))
+    marks = rows.select("family_id", "genome_id", F.explode("near").alias("m")).where("m.pmf is not null").select("family_id", "genome_id", "m.offset", "m.pmf").distinct()
+    anchor = marks.groupBy("family_id", "offset", "pmf").agg(F.count("*").alias("n")).join(genomes, "family_id")
+    agg = anchor.groupBy("family_id").agg(F.count_if(F.col("n") == F.col("genomes_compared")).alias("common"), F.count("*").alias("total"))
+    out = genomes.join(agg, "family_id", "left").fillna(0, ["common", "total"])
+    state = (
+        F.when(F.col("genomes_compared") < 2, "INSUFFICIENT_CONTEXT").when((F.col("common") > 0) & (F.col("common") == F.col("total")), "STRONGLY_CONSERVED_CONTEXT")
+        .when(F.col("common") > 0, "CONSERVED_CONTEXT").otherwise("NO_CONSERVED_CONTEXT")
+    )
+    return out.select("family_id", "genomes_compared", "common", "total", state.alias("context_conservation_state"),
+                      F.when(F.col("total") > 0, F.col("common") / F.col("total")).otherwise(0.0).alias("context_conservation_support"))
+
+
+def occurrence_copies(proteins: DataFrame) -> DataFrame:
+    """FM17: running number of each copy of a family within its genome, in gene order."""
+    return ordinal(proteins, ["genome_id", "family_id"], "s", ["s", "e", "protein_id"], "copy").withColumn("copy", F.col("copy") + 1)
+
+
+def discovery_ranking(families: DataFrame, context: DataFrame, external: DataFrame, sources: DataFrame, k: int | None = None) -> DataFrame:
+    """FM18: recurrent families without any characterised member, most widespread first."""
+    rows = families.where("genome_count > 1 and unknown_member_count = member_count")
+    rows = rows.join(context.select("family_id", "context_conservation_state", "context_conservation_support"), "family_id", "left")
+    rows = rows.join(external.select("family_id", "external_validation_status"), "family_id", "left").join(sources.select("family_id", "source_count"), "family_id", "left")
+    rows = rows.select(
+        "family_id", F.when(F.col("state_composition").contains("CONSERVED_UNKNOWN:"), "CONSERVED_UNKNOWN").otherwise("UNRESOLVED").alias("functional_state"), "member_count", "genome_count",
+        F.coalesce("context_conservation_state", F.lit("INSUFFICIENT_CONTEXT")).alias("context_conservation_state"), F.coalesce("context_conservation_support", F.lit(0.0)).alias("context_conservation_support"),
+        F.coalesce("external_validation_status", F.lit("PMFDB_UNAVAILABLE")).alias("pmfdb_state"), F.coalesce("source_count", F.lit(0)).alias("source_count"))
+    return ranked(rows, [F.desc("genome_count"), F.desc("member_count"), F.desc("source_count"), F.asc("family_id")], k)
+
+
+def unknown_proteome(proteins: DataFrame) -> DataFrame:
+    """FM19."""
+    return proteins.where(F.col("functional_state").isin(*UNKNOWN_STATES))
+
+
+def ortholog_links(query: DataFrame, reference: DataFrame, hits: DataFrame) -> DataFrame:
+    """FM20: links by shared orthology id, else by similarity, else by identical sequence.
+
+    query/reference: genome_id, protein_id, phrog, sha; hits: q_id, r_id, evalue, qcov, tcov.  Each
+    tier only serves (query, reference genome) pairs the tiers before it left empty.
+    """
+    q = query.select(F.col("protein_id").alias("q_id"), F.col("phrog").alias("k"), F.col("sha").alias("qs"))
+    r = reference.select(F.col("protein_id").alias("r_id"), F.col("genome_id").alias("r_genome"), F.col("phrog").alias("k"), F.col("sha").alias("rs"))
+    done = ["q_id", "r_genome"]
+    first = q.where("k is not null").join(r, "k").select(*done, "r_id", F.lit("PHROG_ANCHOR").alias("method"))
+    similar = hits.where("evalue <= 1e-3 and qcov >= 0.5 and tcov >= 0.5").join(r.select("r_id", "r_genome"), "r_id").select(*done, "r_id", F.lit("SIMILARITY").alias("method"))
+    second = similar.join(first.select(*done).distinct(), done, "left_anti")
+    exact = q.join(r, F.col("qs") == F.col("rs")).select(*done, "r_id", F.lit("EXACT_SEQUENCE_MATCH").alias("method"))
+    third = exact.join(first.select(*done).unionByName(second.select(*done)).distinct(), done, "left_anti")
+    return first.unionByName(second).unionByName(third)
+
+
+def synteny(query: DataFrame, reference: DataFrame, links: DataFrame, genomes: int) -> DataFrame:
+    """FM20: how much of a gene's context each query protein keeps across the reference genomes."""
+    q = query.select(F.col("protein_id").alias("q_id"), F.col("strand").alias("qd"), F.col("functional_module").alias("qm"))
+    r = reference.select(F.col("protein_id").alias("r_id"), F.col("strand").alias("rd"), F.col("functional_module").alias("rm"))
+    per = links.join(q, "q_id").join(r, "r_id").groupBy("q_id", "r_genome").agg(
+        F.count("*").alias("n"), F.bool_or(F.col("qd") == F.col("rd")).alias("same_strand"), F.bool_or(F.coalesce(F.col("qm") == F.col("rm"), F.lit(False))).alias("same_module"))
+    agg = per.groupBy("q_id").agg(F.count("*").alias("present"), F.count_if("same_strand").alias("orient"), F.count_if("same_module").alias("mods"), F.count_if(F.col("n") > 1).alias("ambiguous"))
+    out = q.select("q_id").join(agg, "q_id", "left").fillna(0)
+    share = F.col("present") / F.lit(genomes)
+    state = (
+        F.when((F.col("present") == genomes) & (F.col("orient") == genomes) & (F.col("mods") == genomes), "STRONGLY_CONSERVED_CONTEXT").when(share >= 0.5, "CONSERVED_CONTEXT")
+        .when(F.col("present") > 0, "PARTIALLY_CONSERVED_CONTEXT").otherwise("NO_CLEAR_CONTEXT")
+    )
+    return out.select(F.col("q_id").alias("protein_id"), F.col("present").alias("homologs_found"), F.round(share, 6).alias("fraction_present"), F.col("orient").alias("conserved_orientation_count"),
+                      F.col("mods").alias("conserved_module_count"), F.col("ambiguous").alias("ambiguous_mapping_count"), state.alias("synteny_status"))
+
+
+def reference_proteins(proteins: DataFrame, mapping: DataFrame, genomes: DataFrame) -> DataFrame:
+    """FM21: reference protein table: first record per accession, last genome row, joined metadata.
+
+    proteins: accession, sequence, description, n; mapping: accession, genome_id, n; genomes: genome_id, ..., n.
+    """
+    first = lambda df, k: df.groupBy(k).agg(F.min_by(F.struct(*[c for c in df.columns if c not in (k, "n")]), "n").alias("r")).select(k, "r.*")
+    last = lambda df, k: df.groupBy(k).agg(F.max_by(F.struct(*[c for c in df.columns if c not in (k, "n")]), "n").alias("r")).select(k, "r.*")
+    out = first(proteins, "accession").join(first(mapping, "accession"), "accession", "left").join(last(genomes, "genome_id").withColumn("__m", F.lit(True)), "genome_id", "left")
+    vague = F.coalesce("description", F.lit("")).rlike(r"(?i)hypothetical|unknown|uncharacteri[sz]ed") | (F.coalesce("description", F.lit("")) == "")
+    return out.select("accession", "genome_id", "host_genus", F.concat_ws(";", "family", "genus").alias("taxonomy"), F.sha2("sequence", 256).alias("sequence_sha256"),
+                      F.when(vague, "PREDICTED_UNCHARACTERIZED").otherwise("PREDICTED_FUNCTION").alias("annotation_state"),
+                      F.col("genome_id").isNull().alias("missing_mapping"), (F.col("genome_id").isNotNull() & F.col("__m").isNull()).alias("missing_metadata"))
+
+
+def reference_genomes(records: DataFrame) -> DataFrame:
+    """FM22: reference genomes with validity of their alphabet and length without gaps."""
+    bases = F.upper(F.replace("sequence", F.lit("-"), F.lit("")))
+    return records.select("genome_id", F.length(bases).alias("bases"), (bases.rlike("^[ACGTRYSWKMBDHVN]+$")).alias("valid_alphabet"), F.sha2(bases, 256).alias("sequence_sha256"))
+
+
+def registry_status(members: DataFrame) -> DataFrame:
+    """FM01: functional status stored with a family: unknown unless some member is resolved."""
+    return members.groupBy("family_id").agg(F.when(F.bool_and(unresolved(F.col("annotation"))), "UNKNOWN").otherwise("MIXED").alias("consensus_functional_status"))

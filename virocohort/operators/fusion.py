@@ -20,6 +20,7 @@ from virocohort.functions.columns import contains_any, fraction, joined, literal
 from virocohort.functions.labels import normalise_function
 from virocohort.operators.ordering import ordinal, running_total, with_neighbours
 from virocohort.rules import fusion as rules
+from virocohort.session import cut_lineage
 
 OPTIONAL = {
     "subject_coverage": "double", "aln_len": "double", "query_length": "double", "subject_length": "double", "organism": "string",
@@ -342,8 +343,8 @@ def upgrade_tail_neighbours(classified: DataFrame, reach: int = 2) -> DataFrame:
     minor = F.coalesce(F.concat(F.lit("; "), F.col("alternatives")).contains("; minor tail protein="), F.lit(False))
     domain = contains_any(F.lower(F.coalesce("domain_summary", F.lit(""))), ("tail tube", "tail protein", "mbg domain"))
     product = F.when(minor, "putative minor tail protein").when(domain | (F.col("functional_state") == "CONSERVED_UNKNOWN"), "putative tail-associated protein")
-    cands = rows.withColumn("new_product", product).where(open_ & F.col("new_product").isNotNull()).select(
-        "genome_id", "protein_id", "idx", "new_product", "tm2", "tm1", "t1", "t2")
+    cands = cut_lineage(rows.withColumn("new_product", product).where(open_ & F.col("new_product").isNotNull()).select(
+        "genome_id", "protein_id", "idx", "new_product", "tm2", "tm1", "t1", "t2"))  # numbered and chained below
     step = with_neighbours(ordinal(cands, ["genome_id"], "idx", ["idx"], "k", 4096), ["genome_id"], "k", 1, lambda f: {"prev": F.lag("idx").over(f.ordered)})
     chained = running_total(step, ["genome_id"], "idx", ["idx"], F.when(F.col("idx") - F.col("prev") <= reach, 0).otherwise(1), "chain", 4096)
 

@@ -9,8 +9,8 @@ from virocohort.functions.columns import literal_map
 from virocohort.functions.sequence import content_id
 from virocohort.operators import intervals as iv
 from virocohort.operators.components import connected_components
+from virocohort.operators.matching import ordered_choice
 from virocohort.rules import structure as rules
-from virocohort.session import cut_lineage
 
 PRIMARY = "phanotate"
 
@@ -149,27 +149,14 @@ def reconcile_pair(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 def greedy_pairs(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     """IV10: primaries in coordinate order take their best free partner if both overlap by half.
 
-    Rounds replace the sequential walk: a primary decides once no earlier undecided primary overlaps
-    the partner it prefers, which is exactly the moment its turn could no longer change the choice.
     """
     edges = _sides(primary, secondary)
     lp, ld = iv.length(F.col("s_p"), F.col("e_p")), iv.length(F.col("s_d"), F.col("e_d"))
-    edges = cut_lineage(edges.select(
+    edges = edges.select(
         "genome_id", F.col("model_id_p").alias("p"), F.col("model_id_d").alias("d"), F.struct("s_p", "e_p", "model_id_p").alias("turn"),
         F.struct((F.col("overlap") / lp).alias("share"), (-F.col("s_d")).alias("near"), F.col("model_id_d").alias("id")).alias("pref"),
-        (iv.reciprocal(F.col("overlap"), lp, ld) >= 0.5).alias("fits"), "overlap"))
-    matched = None
-    while not edges.isEmpty():
-        wish = edges.groupBy("genome_id", "p").agg(F.max_by(F.struct("d", "fits", "overlap", "turn"), "pref").alias("w")).select(
-            "genome_id", "p", "w.*")
-        first = edges.groupBy("genome_id", "d").agg(F.min("turn").alias("first_turn"))
-        ready = cut_lineage(wish.join(first, ["genome_id", "d"]).where("turn = first_turn").select("genome_id", "p", "d", "fits", "overlap"))
-        new = ready.where("fits").select("genome_id", "p", "d", "overlap")
-        matched = new if matched is None else matched.unionByName(new)
-        edges = cut_lineage(edges.join(ready.select("genome_id", "p"), ["genome_id", "p"], "left_anti").join(
-            new.select("genome_id", "d"), ["genome_id", "d"], "left_anti"))
-    if matched is None:
-        matched = edges.select("genome_id", "p", "d", "overlap")
+        (iv.reciprocal(F.col("overlap"), lp, ld) >= 0.5).alias("fits"), "overlap")
+    matched = ordered_choice(edges)
     cls = (
         F.when(F.col("d").isNull(), "PRIMARY_ONLY")
         .when(F.col("p").isNull(), "SECONDARY_ONLY")
