@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from virocohort.functions import statistics as st
 from virocohort.functions.columns import literal_map, ratio
 from virocohort.operators import intervals as iv
 from virocohort.operators.families import numbered
-from virocohort.operators.matching import mutual_best, ordered_choice
+from virocohort.operators.matching import mutual_best, ordered_choice, walk_groups
 from virocohort.operators.orf import biological_start, biological_stop, interval_clusters
 
 LOCUS = ["genome_id", "s", "e", "strand"]
@@ -86,10 +85,8 @@ def compare_models(a: DataFrame, b: DataFrame) -> DataFrame:
     both = a.select(*cols, F.lit("a").alias("side")).unionByName(b.select(*cols, F.lit("b").alias("side")))
     clusters = interval_clusters(both.withColumn("cand_id", F.concat("side", "model_id")), ["genome_id"])
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["s", "e", "model_id"])
-        left = list(rows[rows.side == "a"].itertuples())
-        right = list(rows[rows.side == "b"].itertuples())
+    def walk(rows: list) -> list[tuple]:
+        left, right = ([r for r in rows if r.side == side] for side in "ab")
         used, out = set(), []
         pending = list(range(len(left)))
         links = [[(j, _relation(x, y)) for j, y in enumerate(right)] for x in left]
@@ -107,11 +104,9 @@ def compare_models(a: DataFrame, b: DataFrame) -> DataFrame:
             open_ = any(j not in used and min(left[i].e, right[j].e) - max(left[i].s, right[j].s) + 1 > 1 for j in range(len(right)))
             out.append((left[i].model_id, None, "COMPLEX" if open_ else "METHOD_A_ONLY"))
         out += [(None, y.model_id, "METHOD_B_ONLY") for j, y in enumerate(right) if j not in used]
-        frame = pd.DataFrame(out, columns=["a_id", "b_id", "relationship"])
-        frame.insert(0, "genome_id", rows.genome_id.iloc[0])
-        return frame
+        return [(rows[0].genome_id, *row) for row in out]
 
-    return clusters.groupBy("genome_id", "cluster").applyInPandas(walk, "genome_id string, a_id string, b_id string, relationship string")
+    return walk_groups(clusters, ["genome_id", "cluster"], ["s", "e", "model_id"], walk, "genome_id string, a_id string, b_id string, relationship string")
 
 
 def _relation(x, y) -> str | None:

@@ -12,12 +12,12 @@ optional columns are read as null.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from virocohort.functions.columns import contains_any, fraction, joined, literal_map
 from virocohort.functions.labels import normalise_function
+from virocohort.operators.matching import walk_groups
 from virocohort.operators.ordering import ordinal, running_total, with_neighbours
 from virocohort.rules import fusion as rules
 from virocohort.session import cut_lineage
@@ -348,17 +348,16 @@ def upgrade_tail_neighbours(classified: DataFrame, reach: int = 2) -> DataFrame:
     step = with_neighbours(ordinal(cands, ["genome_id"], "idx", ["idx"], "k", 4096), ["genome_id"], "k", 1, lambda f: {"prev": F.lag("idx").over(f.ordered)})
     chained = running_total(step, ["genome_id"], "idx", ["idx"], F.when(F.col("idx") - F.col("prev") <= reach, 0).otherwise(1), "chain", 4096)
 
-    def walk(chain: pd.DataFrame) -> pd.DataFrame:
-        raised: set[int] = set()
+    def walk(chain: list) -> list[tuple]:
+        up: set[int] = set()
         keep = []
-        for row in chain.sort_values("idx").itertuples():
-            anchors_ = (row.tm2 or row.idx - 2 in raised) + (row.tm1 or row.idx - 1 in raised) + row.t1 + row.t2
-            if anchors_ >= 2:
-                raised.add(row.idx)
-                keep.append(row.protein_id)
-        return chain.loc[chain.protein_id.isin(keep), ["genome_id", "protein_id", "new_product"]]
-
-    raised = chained.groupBy("genome_id", "chain").applyInPandas(walk, "genome_id string, protein_id string, new_product string")
+        for row in chain:
+            if bool(row.tm2 or row.idx - 2 in up) + bool(row.tm1 or row.idx - 1 in up) + row.t1 + row.t2 >= 2:
+                up.add(row.idx)
+                keep.append((row.genome_id, row.protein_id, row.new_product))
+        return keep
+
+    raised = walk_groups(chained, ["genome_id", "chain"], ["idx"], walk, "genome_id string, protein_id string, new_product string")
     out = classified.join(raised, ["genome_id", "protein_id"], "left")
     up = F.col("new_product").isNotNull()
     return out.withColumn("proposed_function", F.coalesce("new_product", "proposed_function")).withColumn(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +47,28 @@ def mutual_best(edges: DataFrame) -> DataFrame:
         matched = cut_lineage(matched.unionByName(new))
         edges = cut_lineage(edges.join(new.select("genome_id", "p"), ["genome_id", "p"], "left_anti").join(new.select("genome_id", "d"), ["genome_id", "d"], "left_anti"))
     return matched
+
+
+def walk_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], walk: Callable[[list], list[tuple]], schema: str) -> DataFrame:
+    """Apply an order-dependent rule to each key's rows, streamed in sorted order.
+
+    Rows arrive as Arrow batches of a sorted partition and only the current key is held, so many
+    small groups cost no per-group call and no partition is loaded whole.
+    """
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, held = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.itertuples(index=False):
+                key = tuple(getattr(row, k) for k in keys)
+                if key != current:
+                    out += walk(held) if held else []
+                    current, held = key, []
+                held.append(row)
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(walk(held), columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

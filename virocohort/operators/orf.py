@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from virocohort.functions import sequence as sq
 from virocohort.operators import intervals as iv
+from virocohort.operators.matching import walk_groups
 from virocohort.operators.ordering import ordinal, running_total
 from virocohort.rules import genetics as g
 from virocohort.session import cut_lineage
@@ -369,29 +369,28 @@ def rescue_candidates(contigs: DataFrame, genes: DataFrame, rna: DataFrame | Non
 def accept_short_orfs(candidates: DataFrame) -> DataFrame:
     """OR09 (greedy part): walk stops in order, plus strand first; an accepted ORF takes its space.
 
-    Only eligible rows reach the grouped map.  They are first cut into clusters of overlapping
-    candidates, which cannot influence one another, so a group is a few rows whatever the genome.
+    Only eligible rows are walked.  They are first cut into clusters of overlapping candidates, which
+    cannot influence one another, so a walk sees a few rows whatever the genome.
     """
     candidates = cut_lineage(candidates)  # read several times below
     eligible = candidates.where("eligible").select("genome_id", "cand_id", "strand", "s", "e", "right", "score", "uncovered")
     clusters = interval_clusters(eligible, ["genome_id"])
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["strand", "right", "score", "s"], ascending=[True, True, False, True])
+    def walk(rows: list) -> list[tuple]:
         taken: list[tuple[int, int]] = []
-        keep = []
-        for _, stop in rows.groupby(["strand", "right"], sort=False):
-            for row in stop.itertuples():
-                shared = [min(row.e, e) - max(row.s, s) + 1 for s, e in taken]
-                nested = any((row.s <= s and row.e >= e) or (s <= row.s and e >= row.e) for (s, e), o in zip(taken, shared) if o > 0)
-                lost = sum(o for o in shared if o > 0)
-                if max(shared, default=0) <= 4 and not nested and row.uncovered - lost >= MIN_UNCOVERED_NT:
-                    taken.append((row.s, row.e))
-                    keep.append(row.cand_id)
-                    break
-        return rows.loc[rows.cand_id.isin(keep), ["genome_id", "cand_id"]]
-
-    accepted = clusters.groupBy("genome_id", "cluster").applyInPandas(walk, "genome_id string, cand_id string")
+        served, keep = set(), []
+        for row in sorted(rows, key=lambda r: (r.strand, r.right, -r.score, r.s)):
+            if (row.strand, row.right) in served:
+                continue
+            shared = [(s, e, min(row.e, e) - max(row.s, s) + 1) for s, e in taken if min(row.e, e) >= max(row.s, s)]
+            nested = any((row.s <= s and row.e >= e) or (s <= row.s and e >= row.e) for s, e, _ in shared)
+            if all(n <= 4 for *_, n in shared) and not nested and row.uncovered - sum(n for *_, n in shared) >= MIN_UNCOVERED_NT:
+                taken.append((row.s, row.e))
+                served.add((row.strand, row.right))
+                keep.append((row.genome_id, row.cand_id))
+        return keep
+
+    accepted = walk_groups(clusters, ["genome_id", "cluster"], ["s"], walk, "genome_id string, cand_id string")
     return candidates.join(accepted.withColumn("accepted", F.lit(True)), ["genome_id", "cand_id"], "left").withColumn(
         "accepted", F.coalesce("accepted", F.lit(False))).withColumn(
         "review_reason", F.when(F.col("accepted"), "SHORT_ORF_RESCUED_REVIEW").otherwise(F.col("review_reason")))

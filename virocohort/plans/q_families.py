@@ -353,7 +353,7 @@ def cg05(spark, sf):
 
 @query("cg06_annotated_references", "hsps", f"""
 with l as ({LEN.format(orders='orders')}), b as (select l.*, coalesce(al, 0) al, coalesce(idn, 0) idn from l left join {BEST('hsps')} h using (pair_id))
-select pair_id, round(100.0 * al / len_a, 6) query_coverage_percent, round(case when al > 0 then 100.0 * idn / al else 0 end, 6) identity_percent, 100.0 * al / len_a >= 30 and case when al > 0 then 100.0 * idn / al else 0 end >= 85 selected from b""")
+select pair_id, round(100.0 * al / len_a, 6) query_coverage_percent, round(case when al > 0 then 100.0 * idn / al else 0 end, 6) identity_percent, 100.0 * al / len_a >= 30 and case when al > 0 then 100.0 * idn / al else 0 end >= 83.7 selected from b""")
 def cg06(spark, sf):
-    r = cg.annotated_references(load(spark, sf, "hsps"), spark.sql(LEN, orders=load(spark, sf, "orders")), 30.0, 85.0)
+    r = cg.annotated_references(load(spark, sf, "hsps"), spark.sql(LEN, orders=load(spark, sf, "orders")), 30.0, 83.7)
     return r.select("pair_id", F.round("query_coverage_percent", 6).alias("query_coverage_percent"), F.round("identity_percent", 6).alias("identity_percent"), "selected")
