@@ -182,7 +182,7 @@ def canonical_spanin(product: Column) -> Column:
 def module_signal(text: Column) -> Column:
     """TX10: the one module whose keywords occur in the text; null for none or several."""
     found = F.array_compact(F.array(*[F.when(contains_any(text, words), F.lit(m)) for m, words in rules.MODULES.items()]))
-    return F.when(F.size(found) == 1, found[0])
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
 
 
 def hallmark_matches(text: Column) -> Column:

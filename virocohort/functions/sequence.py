@@ -117,7 +117,8 @@ class StrandView(NamedTuple):
     strand: Column
 
     def slice(self, lo: Column, hi: Column) -> Column:
-        """Bases [lo, hi) in 0-based strand coordinates."""
+        """Bases [lo, hi) in 0-based strand coordinates, cut at the contig ends."""
+        lo, hi = F.greatest(F.lit(0), lo), F.least(self.genome_length, hi)
         width = F.greatest(F.lit(0), hi - lo).cast("int")
         first = F.when(self.strand == "-", self.genome_length - hi).otherwise(lo)
         piece = F.substring(self.seq, (first + 1).cast("int"), width)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from virocohort.functions.columns import contains_any, fraction, joined, literal_map
-from virocohort.functions.labels import normalise_function
+from virocohort.functions.labels import PROPHAGE, normalise_function
 from virocohort.operators.matching import walk_groups
 from virocohort.operators.ordering import ordinal, running_total, with_neighbours
 from virocohort.rules import fusion as rules
@@ -39,12 +39,33 @@ def compatible(a: Column, b: Column) -> Column:
     return (a == b) | a.contains(b) | b.contains(a)
 
 
+def vocabulary(hits: DataFrame) -> DataFrame:
+    """Everything that follows from a description alone, once per distinct description.
+
+    Search databases repeat few names over very many hits, so the pattern work is done on the names
+    and joined back.
+    """
+    words = hits.where("supports").select("description").distinct().withColumn("label0", normalise_function(F.col("description")))
+    label = F.col("label0")
+    entry = F.regexp_extract(F.coalesce("description", F.lit("")), r"\bsp\|[^|]+\|([^\s]+)", 1)
+    return words.select(
+        F.col("description").alias("__name"), "label0", entry.alias("tagged"), F.regexp_replace(label, PROPHAGE, "").alias("symbol_label"), contains_any(label, rules.SAFE_TERMS).alias("safe"),
+        contains_any(label, rules.TAXON_TERMS).alias("taxon"), label.contains("bcs1").alias("bcs1"), (label.contains("band 7") | label.contains("spfh")).alias("band7"),
+        (label.rlike(r"\bopg\d+\b") | label.contains("immune evasion protein opg")).alias("opg"), contains_any(label, ("mitochondrial", "chloroplastic", "chloroplast")).alias("organelle"),
+        F.coalesce(contains_any(label, ("aaa", "atpase")), F.lit(False)).alias("w_atpase"), F.coalesce(contains_any(label, ("kelch", "beta-propeller")), F.lit(False)).alias("w_kelch"))
+
+
+def labelled_hits(hits: DataFrame) -> DataFrame:
+    """Supporting hits with the facts of their description."""
+    acc = complete(hits).where("supports")
+    return acc.join(vocabulary(hits), acc["description"].eqNullSafe(F.col("__name")), "left").drop("__name")
+
+
 def accepted_hits(hits: DataFrame) -> DataFrame:
     """Supporting hits with their normalised function and distinct-label context (FU02, FU03 inputs)."""
-    acc = complete(hits).where("supports").withColumn("label0", normalise_function(F.col("description")))
-    said = lambda *terms: F.bool_or(F.coalesce(contains_any(F.col("label0"), terms), F.lit(False)))
+    acc = labelled_hits(hits)
     peers = F.collect_set(F.when((F.col("source") != "Pfam") & F.col("label0").isNotNull(), F.struct("source", F.col("label0").alias("label"))))
-    context = acc.groupBy("protein_id").agg(peers.alias("peers"), said("aaa", "atpase").alias("says_atpase"), said("kelch", "beta-propeller").alias("says_kelch"))
+    context = acc.groupBy("protein_id").agg(peers.alias("peers"), F.bool_or("w_atpase").alias("says_atpase"), F.bool_or("w_kelch").alias("says_kelch"))
     return acc.join(context, "protein_id")
 
 
@@ -56,10 +77,7 @@ def corroborated() -> Column:
 def conservative() -> tuple[Column, Column]:
     """FU03: (label, flag) after removing taxon-, organelle- and locus-specific claims."""
     label = F.col("label0")
-    bcs1 = label.contains("bcs1") & F.col("says_atpase")
-    band7 = label.contains("band 7") | label.contains("spfh")
-    opg = label.rlike(r"\bopg\d+\b") | label.contains("immune evasion protein opg")
-    organelle = contains_any(label, ("mitochondrial", "chloroplastic", "chloroplast"))
+    bcs1, band7, opg, organelle = F.col("bcs1") & F.col("says_atpase"), F.col("band7"), F.col("opg"), F.col("organelle")
     return (
         F.when(bcs1, "bcs1-like aaa-family atpase").when(band7, "band 7/spfh family protein")
         .when(opg, F.when(F.col("says_kelch"), "kelch-repeat beta-propeller protein")).when(organelle, F.lit(None)).otherwise(label),
@@ -81,38 +99,37 @@ def anchors() -> tuple[Column, Column]:
     return curated, full
 
 
-def candidate_score(label: Column) -> Column:
-    """FU05: rank product hypotheses by provenance and alignment."""
+def candidate_score(safe: Column) -> Column:
+    """FU05: rank product hypotheses by provenance and alignment (``safe``: a phage-compatible name)."""
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.coalesce(c, F.lit(0.0)), F.lit(1.0)))
     return (
         F.coalesce(literal_map(rules.SOURCE_WEIGHT)[F.col("source")], F.lit(10.0))
         + F.coalesce(literal_map(rules.STRENGTH_WEIGHT)[F.col("strength")], F.lit(0.0))
         + 20.0 * clip(fraction(F.col("identity"))) + 15.0 * clip(fraction(F.col("query_coverage")))
         + F.least(F.greatest(F.coalesce("bits", F.lit(0.0)), F.lit(0.0)) / 50.0, F.lit(12.0))
-        + F.when(F.col("evalue") <= 1e-20, 8.0).otherwise(0.0) + F.when(contains_any(label, rules.SAFE_TERMS), 8.0).otherwise(0.0)
+        + F.when(F.col("evalue") <= 1e-20, 8.0).otherwise(0.0) + F.when(safe, 8.0).otherwise(0.0)
     )
 
 
 def product_candidates(accepted: DataFrame) -> DataFrame:
     """FU01: the product name each accepted hit may propose, or the flag that withholds it."""
     label = F.col("label0")
-    symbol_label = F.regexp_replace(label, r"^(?:[a-z0-9.-]+\s+)?prophage-derived\s+", "")
+    symbol_label = F.col("symbol_label")
     gene = F.lower(F.trim(F.coalesce("gene", F.lit(""))))
-    tagged = F.regexp_extract(F.coalesce("description", F.lit("")), r"\bsp\|[^|]+\|([^\s]+)", 1)
-    entry = F.when(F.coalesce("entry_name", F.lit("")) != "", F.col("entry_name")).otherwise(tagged)
+    entry = F.when(F.coalesce("entry_name", F.lit("")) != "", F.col("entry_name")).otherwise(F.col("tagged"))
     record = F.when(entry.contains("_"), F.lower(F.substring_index(entry, "_", 1))).otherwise("")
     role = record.endswith("ase") | record.isin(*rules.ROLE_WORDS)
     symbol_only = (gene != "") & ((symbol_label == F.concat(F.lit("protein "), gene)) | (symbol_label == F.concat(gene, F.lit(" protein"))))
     entry_only = (record != "") & (symbol_label == F.concat(F.lit("protein "), record)) & ~role
     partial = F.col("source").isin("PHROGs", "VOGDB") & (fraction(F.coalesce("profile_coverage", "subject_coverage")) < 0.5)
-    safe = contains_any(label, rules.SAFE_TERMS)
+    safe = F.col("safe")
     backed = F.col("backed")
     phage_record = F.lower(F.coalesce("organism", F.lit(""))).contains("phage")
     plain, plain_flag = conservative()
     rewritten = F.coalesce(plain != label, F.lit(False))
     vog = (F.col("source") == "VOGDB") & ~(safe | backed)
     swiss = (F.col("source") == "Swiss-Prot") & ~(phage_record | safe | backed)
-    taxon = contains_any(label, rules.TAXON_TERMS)
+    taxon = F.col("taxon")
     no = F.lit(False)
     ladder = [
         (label.isNull(), None, None), (symbol_only, None, rules.FLAG_SYMBOL), (entry_only, None, rules.FLAG_ENTRY),
@@ -125,7 +142,8 @@ def product_candidates(accepted: DataFrame) -> DataFrame:
         flag = flag.when(test, why if isinstance(why, Column) else F.lit(why).cast("string"))
     rows = accepted.withColumn("backed", corroborated()).withColumn("label", name.otherwise(plain)).withColumn("flag", flag.otherwise(plain_flag))
     curated, full = anchors()
-    return rows.withColumn("curated", curated).withColumn("full_identity", full).withColumn("score", F.when(F.col("label").isNotNull(), candidate_score(F.col("label"))))
+    named_safe = F.when(F.col("label") == F.col("label0"), F.col("safe")).otherwise(contains_any(F.col("label"), rules.SAFE_TERMS))
+    return rows.withColumn("curated", curated).withColumn("full_identity", full).withColumn("score", F.when(F.col("label").isNotNull(), candidate_score(named_safe)))
 
 
 def _order() -> Column:
@@ -133,38 +151,60 @@ def _order() -> Column:
     return F.struct((-F.col("score")).alias("a"), F.col("label").alias("b"), F.col("hit_id").alias("c"))
 
 
-def label_table(candidates: DataFrame) -> DataFrame:
-    """One row per protein and proposed label, with everything selection needs."""
-    strong = F.col("strength") == "STRONG"
-    per_source = candidates.where("label is not null").groupBy("protein_id", "label", "source").agg(
-        F.count("*").alias("n"), F.min(_order()).alias("o"), F.bool_or(strong).alias("strong"), F.max(F.when(strong, F.col("score"))).alias("strong_score"),
-        F.min_by(fraction(F.col("query_coverage")), F.when(strong, _order())).alias("strong_cov"),
-        F.max(F.when(F.col("curated"), F.col("score"))).alias("curated_score"), F.max(F.when(F.col("full_identity"), F.col("score"))).alias("full_score"),
-        F.bool_or((F.col("label") != F.col("label0")) & F.col("flag").isNotNull()).alias("rewrite"),
-        F.min(F.when((F.col("label") == F.col("label0")) & F.col("strength").isin("STRONG", "EXPERIMENTAL"), F.when(F.col("gene").rlike(r"^[A-Za-z][A-Za-z0-9_.-]{0,19}$"), F.col("gene")))).alias("g0"),
-        F.max(F.when((F.col("label") == F.col("label0")) & F.col("strength").isin("STRONG", "EXPERIMENTAL"), F.when(F.col("gene").rlike(r"^[A-Za-z][A-Za-z0-9_.-]{0,19}$"), F.col("gene")))).alias("g1"))
-    return per_source.groupBy("protein_id", "label").agg(
-        F.sum("n").alias("records"), F.min("o").alias("o"), F.count("*").alias("sources"), F.count_if("strong").alias("strong_sources"),
-        F.max("strong_score").alias("strong_score"), F.max(F.when(F.col("strong"), F.col("strong_cov"))).alias("strong_cov"),
-        F.max("curated_score").alias("curated_score"), F.max("full_score").alias("full_score"), F.bool_or("rewrite").alias("rewrite"),
-        F.bool_or(F.col("strong") & (F.col("source") == "Swiss-Prot")).alias("swiss_strong"),
-        F.array_sort(F.collect_set("source")).alias("source_names"),
-        F.array_sort(F.collect_set(F.when(F.col("strong"), F.col("source")))).alias("strong_names"),
-        F.min("g0").alias("g0"), F.max("g1").alias("g1"))
-
-
-def select_products(labels: DataFrame) -> DataFrame:
-    """FU06: one product per protein or an abstention, with the labels it was chosen from."""
+def gather(candidates: DataFrame) -> DataFrame:
+    """One row per protein with its proposed labels, domain notes and evidence facts.
+
+    All of it comes from one grouping by (protein, source, name), where the name is the proposed label
+    or, for domain hits, the neutral note; two small groupings follow.
+    """
+    name = F.when(F.col("source") == "Pfam", domain_note()).otherwise(F.col("label"))
+    strong, pfam, orthology = F.col("strength") == "STRONG", F.col("source") == "Pfam", F.col("source").isin("PHROGs", "VOGDB")
+    label0 = F.col("label0")
+    says = lambda test, *terms: F.coalesce(test & contains_any(label0, terms), F.lit(False))
+    category = F.when(~F.lower(F.trim(F.coalesce("category", F.lit("")))).isin(*rules.UNKNOWN_LABELS, "xu", "unknown"), F.trim("category"))
+    own = (F.col("label") == label0) & F.col("strength").isin("STRONG", "EXPERIMENTAL") & F.col("gene").rlike(r"^[A-Za-z][A-Za-z0-9_.-]{0,19}$")
+    rank = F.struct((-F.coalesce(literal_map(rules.STRENGTH_RANK)[F.col("strength")], F.lit(0))).alias("a"), (-F.coalesce(literal_map(rules.SOURCE_RANK)[F.col("source")], F.lit(0))).alias("b"),
+                    F.coalesce("identifier", F.lit("")).alias("c"), F.col("hit_id"), F.concat_ws(":", "source", F.coalesce("identifier", F.lit("match"))).alias("text"))
+    flags = {
+        "experimental": F.col("strength") == "EXPERIMENTAL", "has_domain": pfam, "conserved": orthology, "strongly": orthology & strong,
+        "d_pol": says(pfam, "dna polymerase family a"), "d_ssb": says(pfam, "enterobacter phage enc34, ssdna-binding protein", "single-stranded dna-binding"), "d_vrr": says(pfam, "vrr-nuc"),
+        "d_hjr": says(F.col("source") == "PHROGs", "holliday junction resolvase"), "d_hth": says(pfam, "helix-turn-helix"),
+        "d_exc": F.coalesce((F.col("source") == "PHROGs") & label0.contains("excisionase") & label0.contains("transcriptional regulator"), F.lit(False)),
+        "d_cat": F.coalesce(F.lower(category).contains("integration and excision"), F.lit(False)), "d_reg": says(F.lit(True), "transcriptional regulator"),
+    }
+    sets = {"categories": category, "ortholog_groups": F.when(orthology, F.col("identifier")), "flags": F.col("flag")}
+    either = lambda names: [F.bool_or(n).alias(n) for n in names]
+    merged = lambda names: [F.array_distinct(F.flatten(F.collect_list(n))).alias(n) for n in names]
+    per_source = candidates.withColumn("name", name).groupBy("protein_id", "source", "name").agg(
+        F.count("*").alias("n"), F.min(_order()).alias("o"), F.min("hit_id").alias("first_hit"), F.bool_or(strong & F.col("label").isNotNull()).alias("strong"), F.max(F.when(strong, F.col("score"))).alias("strong_score"),
+        F.min_by(fraction(F.col("query_coverage")), F.when(strong, _order())).alias("strong_cov"), F.max(F.when(F.col("curated"), F.col("score"))).alias("curated_score"),
+        F.max(F.when(F.col("full_identity"), F.col("score"))).alias("full_score"), F.bool_or(F.coalesce((F.col("label") != label0) & F.col("flag").isNotNull(), F.lit(False))).alias("rewrite"),
+        F.min(F.when(own, F.col("gene"))).alias("g0"), F.max(F.when(own, F.col("gene"))).alias("g1"), F.min(rank).alias("best"),
+        *[F.bool_or(v).alias(k) for k, v in flags.items()], *[F.collect_set(v).alias(k) for k, v in sets.items()])
+    domain = F.col("source") == "Pfam"
+    per_name = per_source.groupBy("protein_id", domain.alias("domain"), "name").agg(
+        F.sum("n").alias("records"), F.min("o").alias("o"), F.min("first_hit").alias("first_hit"), F.count("*").alias("sources"), F.count_if("strong").alias("strong_sources"), F.max("strong_score").alias("strong_score"),
+        F.max(F.when(F.col("strong"), F.col("strong_cov"))).alias("strong_cov"), F.max("curated_score").alias("curated_score"), F.max("full_score").alias("full_score"), F.bool_or("rewrite").alias("rewrite"),
+        F.bool_or(F.col("strong") & (F.col("source") == "Swiss-Prot")).alias("swiss_strong"), F.array_sort(F.collect_set("source")).alias("source_names"),
+        F.array_sort(F.collect_set(F.when(F.col("strong"), F.col("source")))).alias("strong_names"), F.min("g0").alias("g0"), F.max("g1").alias("g1"), F.min("best").alias("best"), *either(flags), *merged(sets))
+    named = F.col("name").isNotNull()
     entry = F.struct(
-        F.col("o.a").alias("neg_score"), "label", F.col("o.c").alias("hit_id"), "records", "sources", "strong_sources", "strong_score", "strong_cov",
+        F.col("o.a").alias("neg_score"), F.col("name").alias("label"), F.col("o.c").alias("hit_id"), "records", "sources", "strong_sources", "strong_score", "strong_cov",
         "curated_score", "full_score", "rewrite", "swiss_strong", "source_names", "strong_names", "g0", "g1")
-    t = labels.groupBy("protein_id").agg(F.array_sort(F.collect_list(entry)).alias("ls"))
+    return per_name.groupBy("protein_id").agg(
+        F.array_sort(F.collect_list(F.when(named & ~F.col("domain"), entry))).alias("ls"), F.array_sort(F.collect_list(F.when(named & F.col("domain"), F.struct("first_hit", "name")))).alias("notes"),
+        F.sum("records").alias("accepted_records"), F.array_distinct(F.flatten(F.collect_list("source_names"))).alias("supporting_sources"), F.min("best").alias("best"), *either(flags), *merged(sets))
+
+
+def select_products(gathered: DataFrame) -> DataFrame:
+    """FU06: one product per protein or an abstention, added to the gathered row."""
+    t = gathered
     has_full = F.exists("ls", lambda x: x["full_score"].isNotNull())
     t = t.withColumn("pool", F.filter("ls", lambda x: F.when(has_full, x["full_score"]).otherwise(x["curated_score"]).isNotNull()))
     aggregate = lambda x: x["strong_score"] + 4.0 * (x["strong_sources"] - 1)
     voted = F.filter("ls", lambda x: (x["strong_sources"] >= 2) & (x["strong_cov"] >= 0.8))
     ranked = F.array_sort(F.transform(voted, lambda x: F.struct((-x["strong_sources"]).alias("n"), (-aggregate(x)).alias("s"), x["label"].alias("label"))))
-    t = t.withColumn("votes", ranked).withColumn("top", F.element_at("ls", 1))
+    t = t.withColumn("votes", ranked).withColumn("top", F.get("ls", F.lit(0)))
     v1, v2 = F.get("votes", F.lit(0)), F.get("votes", F.lit(1))
     consensus = F.when(v1.isNotNull() & (v2.isNull() | (v1["n"] < v2["n"]) | (v2["s"] - v1["s"] >= rules.SCORE_MARGIN)), v1["label"])
     wanted = literal_map(rules.PREFERRED_SPECIFIC)[F.col("top.label")]
@@ -180,41 +220,25 @@ def select_products(labels: DataFrame) -> DataFrame:
     )
     product = F.when(pooled == 1, F.get("pool", F.lit(0))["label"]).when(pooled == 0, F.coalesce(consensus, specific, lead))
     text = F.array_join(F.transform("ls", lambda x: F.concat(x["label"], F.lit("="), F.format_number(-x["neg_score"], 3))), "; ")
-    return t.select("protein_id", "ls", product.alias("product"), how.alias("basis"), (pooled > 1).alias("curated_disagreement"),
+    return t.select(*gathered.columns, product.alias("product"), F.when(F.size("ls") > 0, how).alias("basis"), (pooled > 1).alias("curated_disagreement"),
                     has_full.alias("full_identity"), text.alias("alternatives"))
 
 
-def protein_summary(accepted: DataFrame, candidates: DataFrame, hits: DataFrame) -> DataFrame:
-    """Per-protein facts beside the product: domains, categories, conservation, diagnostic rules, best hit."""
-    label, pfam = F.col("label0"), F.col("source") == "Pfam"
-    says = lambda test, *terms: F.coalesce(test & contains_any(label, terms), F.lit(False))
-    category = F.when(~F.lower(F.trim(F.coalesce("category", F.lit("")))).isin(*rules.UNKNOWN_LABELS, "xu", "unknown"), F.trim("category"))
-    ssb = ("enterobacter phage enc34, ssdna-binding protein", "single-stranded dna-binding")
-    excision = F.coalesce((F.col("source") == "PHROGs") & label.contains("excisionase") & label.contains("transcriptional regulator"), F.lit(False))
-    rank = F.struct((-F.coalesce(literal_map(rules.STRENGTH_RANK)[F.col("strength")], F.lit(0))).alias("a"),
-                    (-F.coalesce(literal_map(rules.SOURCE_RANK)[F.col("source")], F.lit(0))).alias("b"), F.coalesce("identifier", F.lit("")).alias("c"), F.col("hit_id"))
-    facts = accepted.groupBy("protein_id").agg(
-        F.count("*").alias("accepted_records"), F.array_sort(F.collect_set("source")).alias("supporting_sources"),
-        F.array_sort(F.collect_set(category)).alias("categories"), F.bool_or(pfam).alias("has_domain"),
-        F.bool_or(F.col("strength") == "EXPERIMENTAL").alias("experimental"),
-        F.bool_or(says(pfam, "dna polymerase family a")).alias("d_pol"), F.bool_or(says(pfam, *ssb)).alias("d_ssb"),
-        F.bool_or(says(pfam, "vrr-nuc")).alias("d_vrr"), F.bool_or(says(F.col("source") == "PHROGs", "holliday junction resolvase")).alias("d_hjr"),
-        F.bool_or(says(pfam, "helix-turn-helix")).alias("d_hth"), F.bool_or(excision).alias("d_exc"),
-        F.bool_or(F.coalesce(F.lower(category).contains("integration and excision"), F.lit(False))).alias("d_cat"),
-        F.bool_or(says(F.lit(True), "transcriptional regulator")).alias("d_reg"),
-        F.min_by(F.concat_ws(":", "source", F.coalesce("identifier", F.lit("match"))), rank).alias("best_evidence"),
-        F.array_sort(F.collect_set(F.when(F.col("source").isin("PHROGs", "VOGDB"), F.col("identifier")))).alias("ortholog_groups"))
+def protein_facts(gathered: DataFrame) -> DataFrame:
+    """FU07, FU09, FU10: diagnostic product, domain summary and conservation of each protein."""
     diagnostic = (
         F.when(F.col("d_pol"), "family-a dna polymerase").when(F.col("d_ssb"), "single-stranded dna-binding protein")
         .when(F.col("d_vrr") & F.col("d_hjr"), "holliday junction resolvase")
         .when(F.col("d_hth") & F.col("d_exc") & F.col("d_cat"), "excisionase and transcriptional regulator")
         .when(F.col("d_hth") & F.col("d_reg"), "helix-turn-helix transcriptional regulator")
     )
-    flags = candidates.groupBy("protein_id").agg(F.array_sort(F.collect_set("flag")).alias("flags"))
-    kept = hits.where("supports").where(F.col("source").isin("PHROGs", "VOGDB")).groupBy("protein_id").agg(
-        F.when(F.bool_or(F.col("strength") == "STRONG"), "STRONGLY_CONSERVED").otherwise("CONSERVED").alias("conservation_status"))
-    out = facts.withColumn("diagnostic_product", diagnostic).join(flags, "protein_id", "left").join(kept, "protein_id", "left").join(domain_summary(accepted), "protein_id", "left")
-    return out.withColumn("conservation_status", F.coalesce("conservation_status", F.lit("NOT_ESTABLISHED")))
+    kept = F.when(F.col("strongly"), "STRONGLY_CONSERVED").when(F.col("conserved"), "CONSERVED").otherwise("NOT_ESTABLISHED")
+    out = gathered.withColumn("diagnostic_product", diagnostic).withColumn("conservation_status", kept).withColumn("notes", F.transform("notes", lambda x: x["name"]))
+    for lead, first, dropped in (("ninh", "ninh-like domain", ("transposase", "ninh")), ("atpase-related domain", "atpase-related domain", ("p-type atpase actuator", "atpase-related domain"))):
+        rest = F.concat(F.array(F.lit(first)), F.filter("notes", _without(dropped)))
+        out = out.withColumn("notes", F.when(F.exists("notes", _mentions(lead)), rest).otherwise(F.col("notes")))
+    summary = F.concat(F.lit("Detected domain evidence: "), F.array_join(F.slice("notes", 1, 2), " and "))
+    return out.withColumn("domain_summary", F.when(F.size("notes") > 0, summary)).drop("notes")
 
 
 def diagnostic_reason(product: Column) -> Column:
@@ -228,23 +252,16 @@ def diagnostic_reason(product: Column) -> Column:
     })[product]
 
 
-def domain_summary(accepted: DataFrame) -> DataFrame:
-    """FU09: at most two distinct neutral domain notes in order of arrival."""
+def domain_note() -> Column:
+    """FU09: the neutral note a domain hit may leave, never a product."""
     label = F.col("label0")
-    neutral = (
+    return (
         F.when(label.contains("phage ninh protein and transposase"), "ninh-like domain")
         .when(label.contains("enterobacter phage enc34, ssdna-binding protein"), "single-stranded dna-binding domain")
         .when(label.contains("disarm protein drme"), "atpase-related domain")
-        .when(contains_any(label, rules.TAXON_TERMS), F.concat(F.lit("domain "), F.coalesce("identifier", F.lit("protein domain"))))
+        .when(F.col("taxon"), F.concat(F.lit("domain "), F.coalesce("identifier", F.lit("protein domain"))))
         .otherwise(label)
     )
-    notes = accepted.where("source = 'Pfam' and label0 is not null").groupBy("protein_id", neutral.alias("note")).agg(F.min("hit_id").alias("h"))
-    per = notes.groupBy("protein_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "note"))), lambda x: x["note"]).alias("notes"))
-    for lead, dropped in (("ninh", ("transposase", "ninh")), ("atpase-related domain", ("p-type atpase actuator", "atpase-related domain"))):
-        first = "ninh-like domain" if lead == "ninh" else lead
-        rest = F.filter("notes", _without(dropped))
-        per = per.withColumn("notes", F.when(F.exists("notes", _mentions(lead)), F.concat(F.array(F.lit(first)), rest)).otherwise(F.col("notes")))
-    return per.select("protein_id", F.concat(F.lit("Detected domain evidence: "), F.array_join(F.slice("notes", 1, 2), " and ")).alias("domain_summary"))
 
 
 def _without(terms):
@@ -257,12 +274,8 @@ def _mentions(term):
 
 def classify(hits: DataFrame) -> DataFrame:
     """FU06-FU12: the full decision per protein that has accepted evidence."""
-    accepted = accepted_hits(hits)
-    candidates = product_candidates(accepted)
-    picks = select_products(label_table(candidates))
-    d = protein_summary(accepted, candidates, complete(hits)).join(picks, "protein_id", "left")
+    d = select_products(protein_facts(gather(product_candidates(accepted_hits(hits)))))
     no = F.lit(False)
-    d = d.withColumn("ls", F.coalesce("ls", F.array().cast(picks.schema["ls"].dataType)))
     d = d.withColumn("disagree", F.coalesce("curated_disagreement", no)).withColumn("anchored", F.coalesce(F.col("basis") == "CURATED_ANCHOR", no))
     strong = F.filter("ls", lambda x: x["strong_sources"] > 0)
     d = d.withColumn("strong", strong).withColumn("strong_labels", F.transform("strong", lambda x: x["label"]))
@@ -278,9 +291,9 @@ def classify(hits: DataFrame) -> DataFrame:
     d = d.withColumn("diagnostic", F.when(~F.col("anchored") & ~F.col("disagree"), F.col("diagnostic_product")))
     rewrites = F.transform(F.filter("ls", lambda x: x["rewrite"]), lambda x: x["label"])
     base = F.coalesce("diagnostic", F.when(~F.col("clash"), F.col("product")))
-    d = d.withColumn("final", F.when((F.size(rewrites) == 1) & ~F.col("anchored") & ~F.col("disagree"), rewrites[0]).otherwise(base))
+    d = d.withColumn("final", F.when((F.size(rewrites) == 1) & ~F.col("anchored") & ~F.col("disagree"), F.get(rewrites, F.lit(0))).otherwise(base))
     d = d.withColumn("ambiguity", joined(
-        F.when(F.size("flags") > 0, F.array_join("flags", "; ")),
+        F.when(F.size("flags") > 0, F.array_join(F.array_sort("flags"), "; ")),
         F.when(F.col("unclear"), "distinct strong labels could not be confidently established as biologically incompatible"),
         F.when(F.col("disagree"), "reviewed whole-protein records disagree; product specificity remains unresolved"),
         F.when(F.col("full"), "full-length 100%-identity reviewed alignment preferred; other labels retained as alternatives"),
@@ -314,12 +327,12 @@ def classify(hits: DataFrame) -> DataFrame:
     gene = F.when(F.col("mine.g0") == F.col("mine.g1"), F.col("mine.g0"))
     return d.select(
         "protein_id", "functional_state", confidence.alias("confidence"), F.col("final").alias("proposed_function"), display.alias("display_product"),
-        F.when(F.col("final").isNotNull(), gene).alias("gene"), tier.alias("evidence_tier"), "best_evidence",
+        F.when(F.col("final").isNotNull(), gene).alias("gene"), tier.alias("evidence_tier"), F.col("best.text").alias("best_evidence"),
         F.when(F.col("functional_state").isin("CONFLICTING_EVIDENCE", "UNRESOLVED") | F.col("unclear"), "REVIEW_REQUIRED").otherwise("NONE").alias("review_flag"),
-        F.coalesce("basis", F.lit("NO_CANDIDATE")).alias("selection_basis"), "diagnostic_product", "domain_summary", F.array_join("categories", "; ").alias("functional_category"),
-        "conservation_status", F.array_join("supporting_sources", ";").alias("supporting_sources"), F.col("agreeing").alias("product_supporting_source_count"),
+        F.coalesce("basis", F.lit("NO_CANDIDATE")).alias("selection_basis"), "diagnostic_product", "domain_summary", F.array_join(F.array_sort("categories"), "; ").alias("functional_category"),
+        "conservation_status", F.array_join(F.array_sort("supporting_sources"), ";").alias("supporting_sources"), F.col("agreeing").alias("product_supporting_source_count"),
         F.coalesce("mine.records", F.lit(0)).alias("product_supporting_record_count"), F.col("clash").alias("conflict"),
-        F.array_join("ortholog_groups", ";").alias("ortholog_groups"), F.coalesce("alternatives", F.lit("")).alias("alternatives"), F.col("ambiguity").alias("ambiguity_flags"))
+        F.array_join(F.array_sort("ortholog_groups"), ";").alias("ortholog_groups"), F.coalesce("alternatives", F.lit("")).alias("alternatives"), F.col("ambiguity").alias("ambiguity_flags"))
 
 
 def _any_of(group):

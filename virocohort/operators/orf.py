@@ -474,12 +474,15 @@ def repair_boundaries(models: DataFrame, contigs: DataFrame) -> DataFrame:
     """
     m = models.join(contigs.select("genome_id", F.upper("seq").alias("seq"), F.length("seq").cast("bigint").alias("n")), "genome_id")
     left, right = sq.oriented(F.col("s"), F.col("e"), F.col("strand"), F.col("n"))
-    m = m.withColumn("st", sq.oriented_sequence(F.col("seq"), F.col("strand"))).withColumn("l", left).withColumn("r", right).drop("seq")
-    codon = lambda at: F.substring("st", (at + 1).cast("int"), F.lit(3))
+    view = sq.StrandView(F.col("seq"), F.col("n"), F.col("strand"))
+    m = m.withColumn("l", left).withColumn("r", right).withColumn("base", F.greatest(F.lit(0), F.col("l") - 6))
+    m = m.withColumn("w5", view.slice(F.col("base"), F.col("l") + 9)).withColumn("w3", view.slice(F.col("r") - 3, F.col("r") + 9)).drop("seq")
+    codon = lambda at: F.substring("w5", (at - F.col("base") + 1).cast("int"), F.lit(3))
+    tail = lambda at: F.substring("w3", (at - F.col("r") + 4).cast("int"), F.lit(3))
     sound = ((F.col("r") - F.col("l")) % 3 == 0) | F.col("partial_5") | F.col("partial_3")
     m = m.withColumn("sound", sound & F.col("strand").isin("+", "-") & (F.col("s") >= 1) & (F.col("e") <= F.col("n")))
-    no_stop = F.col("sound") & ~F.col("partial_3") & ~codon(F.col("r") - 3).isin(*g.STOPS)
-    extended = F.coalesce(*[F.when((F.col("r") + d <= F.col("n")) & codon(F.col("r") + d - 3).isin(*g.STOPS), F.col("r") + d) for d in (3, 6, 9)])
+    no_stop = F.col("sound") & ~F.col("partial_3") & ~tail(F.col("r") - 3).isin(*g.STOPS)
+    extended = F.coalesce(*[F.when((F.col("r") + d <= F.col("n")) & tail(F.col("r") + d - 3).isin(*g.STOPS), F.col("r") + d) for d in (3, 6, 9)])
     edge = F.when(F.col("n") - F.col("r") < 9, F.col("n")).otherwise(F.col("r"))
     m = m.withColumn("no_stop", no_stop).withColumn("ext", F.when(F.col("no_stop"), extended))
     m = m.withColumn("p3", F.col("partial_3") | (F.col("no_stop") & F.col("ext").isNull()))

@@ -11,6 +11,7 @@ from virocohort.operators import intervals as iv
 from virocohort.operators.components import connected_components
 from virocohort.operators.matching import ordered_choice
 from virocohort.rules import structure as rules
+from virocohort.session import cut_lineage
 
 PRIMARY = "phanotate"
 
@@ -20,7 +21,7 @@ def locus_members(models: DataFrame) -> DataFrame:
     pairs = iv.self_overlap(models.select("genome_id", "model_id", "s", "e"), ["genome_id"], "model_id")
     linked = pairs.where(iv.meaningful(F.col("overlap"), iv.length(F.col("s_a"), F.col("e_a")), iv.length(F.col("s_b"), F.col("e_b"))))
     edges = linked.select(F.col("model_id_a").alias("u"), F.col("model_id_b").alias("v"))
-    return connected_components(models, edges, "model_id")
+    return cut_lineage(connected_components(models, edges, "model_id"))  # read by every later step
 
 
 def loci(members: DataFrame) -> DataFrame:

@@ -71,10 +71,13 @@ SEL = f"""{ACC}, info as (select * from sco where lbl is not null), rk as (selec
    from top t left join cur using (protein_id) left join con using (protein_id) left join oth using (protein_id))"""
 
 
+def gathered(spark, sf):
+    return fu.gather(fu.product_candidates(fu.accepted_hits(classified_hits(spark, sf))))
+
+
 @query("fu06_product_selection", "hits", f"with {SEL} select protein_id, product, basis from pick")
 def fu06(spark, sf):
-    cand = fu.product_candidates(fu.accepted_hits(classified_hits(spark, sf)))
-    return fu.select_products(fu.label_table(cand)).select("protein_id", "product", "basis")
+    return fu.select_products(gathered(spark, sf)).where("size(ls) > 0").select("protein_id", "product", "basis")
 
 
 DIAG = f"""{ACC}, dg as (select protein_id, bool_or(coalesce(source = 'Pfam' and contains(label0, 'dna polymerase family a'), false)) pol, bool_or(coalesce(source = 'Pfam' and contains(label0, 'helix-turn-helix'), false)) hth,
@@ -84,9 +87,7 @@ DIAG = f"""{ACC}, dg as (select protein_id, bool_or(coalesce(source = 'Pfam' and
 
 @query("fu07_diagnostic_rules", "hits", f"with {DIAG} select * from diag where diagnostic_product is not null")
 def fu07(spark, sf):
-    hits = classified_hits(spark, sf)
-    acc = fu.accepted_hits(hits)
-    return fu.protein_summary(acc, fu.product_candidates(acc), fu.complete(hits)).where("diagnostic_product is not null").select("protein_id", "diagnostic_product")
+    return fu.protein_facts(gathered(spark, sf)).where("diagnostic_product is not null").select("protein_id", "diagnostic_product")
 
 
 DOM = f"""{ACC}, nt as (select protein_id, case when {has_sql('label0', rules.TAXON_TERMS)} then 'domain ' || identifier else label0 end note, min(hit_id) h from acc where source = 'Pfam' and label0 is not null group by 1, 2),
@@ -95,12 +96,12 @@ DOM = f"""{ACC}, nt as (select protein_id, case when {has_sql('label0', rules.TA
 
 @query("fu09_domain_summary", "hits", f"with {DOM} select * from dom")
 def fu09(spark, sf):
-    return fu.domain_summary(fu.accepted_hits(classified_hits(spark, sf)))
+    return fu.protein_facts(gathered(spark, sf)).where("domain_summary is not null").select("protein_id", "domain_summary")
 
 
 @query("fu10_conservation", "hits", f"with {CH} select protein_id, case when bool_or(strength = 'STRONG') then 'STRONGLY_CONSERVED' else 'CONSERVED' end conservation_status from ch where supports and source in ('PHROGs', 'VOGDB') group by 1")
 def fu10(spark, sf):
-    return fu.classify(classified_hits(spark, sf)).where("conservation_status <> 'NOT_ESTABLISHED'").select("protein_id", "conservation_status")
+    return fu.protein_facts(gathered(spark, sf)).where("conservation_status <> 'NOT_ESTABLISHED'").select("protein_id", "conservation_status")
 
 
 grp = [f"bool_or({has_sql('lbl', g)})::int" for g in rules.INCOMPATIBLE_GROUPS]
