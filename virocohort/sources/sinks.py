@@ -75,9 +75,9 @@ def curation_workbook(genes: DataFrame, classified: DataFrame, context: DataFram
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """SK07: checksum of every file below a folder, read as splits of whole files."""
+    """SK07: checksum of every file below a folder, by relative path, read as splits of whole files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select(F.substring_index("path", path.rstrip("/") + "/", -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify_manifest(recorded: DataFrame, found: DataFrame) -> DataFrame:
