@@ -294,7 +294,7 @@ def cg01(spark, sf):
 
 @query("cg01_sketch_distances")
 def cg01s(spark, sf):
-    """Sketches of the contigs against references made of the first half of each contig and its neighbour's second half."""
+    """Sketches of the contigs against references that hold the first 1,400 bases of each."""
     c = load(spark, sf, "contigs")
     refs = c.select("genome_id", F.substring("seq", 1, 1400).alias("seq"))
     return cg.sketch_distances(cg.sketch(c, 16, 400), cg.sketch(refs, 16, 400))

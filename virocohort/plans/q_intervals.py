@@ -234,18 +234,23 @@ def iv17(spark, sf):
 SPLIT_HITS = """select model_id, 'Swiss-Prot' source, concat('T', cast(s % 7 as varchar(10))) target, s % 500 subject_start, s % 500 + (e - s) / 3 subject_end, 1e-10 evalue from {models}"""
 
 
-@query("iv18_frameshift_candidates", "gene_models", f"""
+FRAMESHIFTS = f"""
 with h as ({SPLIT_HITS.format(models='gene_models')}), o as (select *, lead(struct_pack(m := model_id, s := s, e := e)) over (partition by genome_id, strand order by s, e, model_id) nx from gene_models),
  p as (select genome_id, strand, case when strand = '+' then model_id else nx.m end a, case when strand = '+' then nx.m else model_id end b, nx.s - e - 1 gap_nt,
    case when strand = '+' then (s - 1) % 3 else nx.e % 3 end fa, case when strand = '+' then (nx.s - 1) % 3 else e % 3 end fb from o where nx is not null)
 select p.genome_id, a first_cds, b second_cds, x.source, x.target, gap_nt from p join h x on x.model_id = a join h y on y.model_id = b and x.source = y.source and x.target = y.target
-where gap_nt between -30 and 100 and fa <> fb and x.subject_start < y.subject_start and x.subject_end <= y.subject_start + 10""")
+where gap_nt between -30 and 100 and fa <> fb and x.subject_start < y.subject_start and x.subject_end <= y.subject_start + 10"""
+
+
+@query("iv18_frameshift_candidates", "gene_models", FRAMESHIFTS)
 def iv18(spark, sf):
     m = load(spark, sf, "gene_models")
     return sc.frameshift_candidates(m, spark.sql(SPLIT_HITS, models=m))
 
 
-@query("iv19_slippage_review")
+@query("iv19_slippage_review", "gene_models", f"""
+with al as ({FRAMESHIFTS}), m as (select genome_id, unnest([first_cds, second_cds]) model_id from al), n as (select genome_id, model_id, count(*) n from m group by 1, 2)
+select g.genome_id, g.model_id, coalesce(n, 0) slippage_alerts, case when n > 0 then 'REVIEW_REQUIRED_NOT_ASSERTED' end status from gene_models g left join n using (genome_id, model_id)""")
 def iv19(spark, sf):
     m = load(spark, sf, "gene_models")
     return sc.slippage_review(sc.frameshift_candidates(m, spark.sql(SPLIT_HITS, models=m)), m)

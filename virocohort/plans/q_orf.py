@@ -178,7 +178,8 @@ def or10(spark, sf):
 
 
 def prefiltered(spark, sf):
-    """Short same-stop ORFs against longer genes; every fourth-size gene plays the spanin, stops of ATG calls the family evidence."""
+    """Short same-stop ORFs against longer genes; genes under 200 bases play the
+    spanins, stops of ATG calls the family evidence."""
     genes = long_genes(spark, sf)
     starts = starts_of(spark, sf, 75).where("right - left <= 300")
     cands = starts.select("genome_id", F.concat_ws("|", "genome_id", "strand", "left", "right").alias("cand_id"), "strand", "s", "e",
