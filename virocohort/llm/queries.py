@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from virocohort.llm import exact_dedup
+from virocohort.llm import exact_dedup, url_filter
 from virocohort.llm.common import table
 
 QUERIES = {}
@@ -29,3 +29,19 @@ from t window w as (partition by text_sha256 order by length(text) desc, doc_id
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, folder, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+RULES = "('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')"
+
+
+@query(f"""
+with rules as (select * from (values {RULES}) as r(rhost, rpath, rverdict)),
+p as (select page_id, url, coalesce(case when contains(url, '://') then substr(url, instr(url, '://') + 3) end, '') rest from pages),
+q as (select *, regexp_extract(rest, '^[^/?#]*') raw from p),
+r as (select *, translate(raw, '{url_filter.UPPER}', '{url_filter.LOWER}') host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') path from q),
+m as (select url, max_by(rhost || rpath, length(rhost || rpath)) rule, max_by(rverdict, length(rhost || rpath)) verdict
+      from (select distinct url, host, path from r) join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by url)
+select page_id, host, path, rule, coalesce(verdict, 'allow') verdict from r left join m using (url)""")
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.sql(f"select * from values {RULES} as r(host, path, verdict)")
+    return url_filter.url_filter(table(spark, folder, "pages"), rules)
