@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from virocohort.llm import exact_dedup, url_filter
+from virocohort.llm import exact_dedup, url_filter, warc
 from virocohort.llm.common import table
 
 QUERIES = {}
@@ -45,3 +45,15 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') verdict from r left
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.sql(f"select * from values {RULES} as r(host, path, verdict)")
     return url_filter.url_filter(table(spark, folder, "pages"), rules)
+
+
+@query("""
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) payload_bytes, sha1(coalesce(html, '')) sha from pages),
+g as (select *, min(page_id) over (partition by sha) one from p)
+select page_id, payload_bytes, list_aggregate(list_transform(range(0, 40, 5), lambda i: list_aggregate(list_transform([15, 10, 5, 0],
+         lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, i + 1, 5))::int >> k) & 31), 1)), 'string_agg', '')), 'string_agg', '') payload_digest,
+       case when page_id = one then 'response' else 'revisit' end record_type, case when page_id <> one then one end refers_to
+from g""")
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.round_trip(spark, table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
