@@ -55,6 +55,7 @@ def _merge(by_origin: bool):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
+            batch = pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names)  # all columns nullable
             if held is not None:
                 batch = pa.concat_batches([held, batch])
             if not batch.num_rows:
