@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from virocohort.llm import exact_dedup, url_filter, warc
+from virocohort.llm import exact_dedup, packing, url_filter, warc
 from virocohort.llm.common import table
 
 QUERIES = {}
@@ -31,6 +32,16 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file, the same on every machine."""
+    return public_tokenizers.path(name)
+
+
+@query()
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), "words")
+
+
 RULES = "('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')"
 
 
