@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from virocohort.llm import exact_dedup, packing, token_files, url_filter, warc
+from virocohort.llm import bpe, exact_dedup, packing, token_files, url_filter, warc
 from virocohort.llm.common import table
 
 QUERIES = {}
@@ -42,6 +42,11 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.round_trip(spark, table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), "spaced", 0, 50257)
 
 
+@query()
+def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digest_documents(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 @query()
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), "words")
