@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from virocohort.llm import bpe, exact_dedup, packing, token_files, url_filter, warc
+from virocohort.llm import bpe, exact_dedup, packing, simhash, token_files, url_filter, warc
 from virocohort.llm.common import table
 
 QUERIES = {}
@@ -52,6 +52,11 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), "words")
 
 
+@query()
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 RULES = "('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')"
 
 
