@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from virocohort.llm import bpe, exact_dedup, packing, simhash, token_files, url_filter, warc
+from virocohort.llm import bpe, exact_dedup, multi_index, packing, simhash, token_files, url_filter, warc
 from virocohort.llm.common import table
 
 QUERIES = {}
@@ -83,3 +84,8 @@ from g""")
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     found = warc.round_trip(spark, table(spark, folder, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op10_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.search(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
