@@ -62,8 +62,8 @@ def test_whole_method_equals_brute_force(spark, texts):
     rows += [(900, None), (901, ""), (902, " \n\t"), (903, "one"), (904, "one two"), (905, "one two"), (905, "one two"), (None, "one"), (None, None), (None, "alone " * 9), (906, "é É ß " * 5000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fp": F.lit("x"), "row": F.lit(1), "node": F.lit(None)})
     got = simhash.near_dedup(df, distance=2)
-    assert got.columns == ["row", "doc_id", "fingerprint", "component_id"]
-    assert sorted((tuple(r)[1:] for r in got.collect()), key=str) == expected(rows, 3, 2)
+    assert got.columns == ["row", "doc_id", "fingerprint", "component_id", "component"]
+    assert sorted((tuple(r)[1:4] for r in got.collect()), key=str) == expected(rows, 3, 2)
 
 
 @pytest.mark.parametrize(("distance", "crowd"), [(0, 200), (1, 200), (2, 200), (2, 0), (2, 3), (3, 200), (5, 200)])

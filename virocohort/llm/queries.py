@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from virocohort.llm import bpe, exact_dedup, multi_index, packing, simhash, token_files, url_filter, warc
+from virocohort.llm import bpe, exact_dedup, language_id, license_scan, multi_index, packing, simhash, token_files, url_filter, warc
 from virocohort.llm.common import table
 
 QUERIES = {}
@@ -38,6 +38,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+LANGUAGES = ("de", "en", "es", "fr")
+
+
+@query()
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages, with markup, address and host, and documents, whose lang column declares and whose source is the host."""
+    docs = language_id.documents_as_rows(table(spark, folder, "documents"))
+    pages = language_id.pages_as_rows(table(spark, folder, "pages"))
+    both = docs.withColumn("kind", F.lit("document")).unionByName(pages.withColumn("kind", F.lit("page")))
+    found = language_id.identify(both, language_id.text_model(docs, LANGUAGES), LANGUAGES)
+    return found.select("kind", F.when(F.col("kind") == "document", F.col("id")).alias("doc_id"), F.when(F.col("kind") == "page", F.col("id")).alias("page_id"),
+                        "language", "posterior", "accepted", "text_language", "declared", "host")
+
+
 @query()
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.round_trip(spark, table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), "spaced", 0, 50257)
@@ -53,6 +67,11 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), "words")
 
 
+@query()
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, folder, "documents"))
+
+
 @query()
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_dedup(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")

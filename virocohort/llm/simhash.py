@@ -194,7 +194,8 @@ def links(classes: DataFrame, distance: int = 2, crowd: int = 200) -> DataFrame:
 
 def near_dedup(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text",
                row_col: str | None = None, crowd: int = 200) -> DataFrame:
-    """One row per input row: row, doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach).
+    """One row per input row: row, doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach)
+    and component (a number of the group that is never null).
 
     Null, empty and blank texts have the fingerprint zero and are linked like any other.  Repeated rows and ids are
     kept.  A null id is in its component but never its name, unless all are null.  An empty table gives an empty
@@ -205,5 +206,5 @@ def near_dedup(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str
     classes = cut_lineage(prints.groupBy("fp").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")))
     found = connected_components(classes.select("node", "fp", "least"), links(classes, distance, crowd))
     names = found.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = found.join(names, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("row", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = found.join(names, "component").select("fp", "component", "component_id")
+    return prints.join(named, "fp").select("row", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component")
