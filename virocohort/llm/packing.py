@@ -51,16 +51,17 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     count = np.zeros(size + 1, np.int64)  # open bins by gap
     stacks: list[list[int]] = [[] for _ in range(size + 1)]
     bins, offsets, made = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
+    never = np.iinfo(np.int64).max
     for i, n in enumerate(lengths.tolist()):
         if n == size:
             bins[i], offsets[i], made = made, 0, made + 1
             continue
-        # half the change of the sum: a gap g becomes g - n, or vanishes where g = n; a new bin has the gap size - n
-        change = count[: size - n] - count[n:size] + 1
-        change = np.where(count[n:size] > 0, change, np.iinfo(np.int64).max)
-        change[0] = -count[n] if count[n] else np.iinfo(np.int64).max
+        # the change of the sum: a gap g becomes g - n, or vanishes where g = n; a new bin has the gap size - n
+        change = np.where(count[n:size] > 0, 2 * (count[: size - n] - count[n:size]) + 2, never)
+        if count[n]:
+            change[0] = 1 - 2 * count[n]
         at = int(change.argmin())
-        if change[at] > count[size - n]:
+        if change[at] > 2 * count[size - n] + 1:
             gap, b, made = size, made, made + 1
         else:
             gap = at + n
