@@ -140,7 +140,7 @@ def host_counts(rows: DataFrame, n: int) -> DataFrame:
     counts = F.array(*[F.sum(F.when(F.col("shown") == k, 1).otherwise(0)) for k in range(n)])
     add = lambda c: F.array(*[F.sum(F.col(c)[k]) for k in range(n)])
     labels = F.split("host", r"\.")
-    hosts = (rows.groupBy("host").agg(counts.alias("of_host")).withColumn("labels", labels)
+    hosts = (rows.where("host is not null").groupBy("host").agg(counts.alias("of_host")).withColumn("labels", labels)
              .withColumn("domain", F.when(F.size("labels") > 2, F.array_join(F.slice("labels", -2, 2), ".")).otherwise(F.col("host")))
              .withColumn("suffix", F.when(F.size("labels") > 1, F.element_at("labels", -1)).otherwise(F.lit(""))).drop("labels"))
     domains = hosts.groupBy("suffix", "domain").agg(add("of_host").alias("of_domain"))

@@ -2,7 +2,7 @@
 
 Documents are cut only where they are longer than a sequence.  Pieces are dealt at random to packers; each
 packer goes through its pieces from the longest down and puts a piece where the sum over all gaps of the squared
-number of open bins with that gap becomes smallest (a new bin is one of the choices).  Bins that stay open are
+number of open bins with that gap becomes smallest (a new bin is one of the choices).  Bins that stay too empty are
 dissolved and their pieces packed again, first by the same packer, then at the next level together with those of
 other packers.  A packer holds lengths alone, never texts or ids, and about ``packer_pieces`` of them.
 """
@@ -74,24 +74,21 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     return bins, offsets, made
 
 
-def pack_lengths(lengths: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin, offset and level of the bin of each length: bins that are not full are dissolved and packed again.
-
-    The first round goes from the longest down, the next ones in mixed and falling order by turns.
-    """
+def pack_lengths(lengths: np.ndarray, size: int, rounds: int, enough: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin, offset and level of the bin of each length, from the longest down in each round: bins that are filled to less
+    than ``enough`` are dissolved and their pieces packed again."""
     bins, offsets, levels = (np.zeros(len(lengths), np.int64) for _ in range(3))
-    at, made, mixed = np.argsort(-lengths, kind="stable"), 0, np.random.default_rng(len(lengths))
-    for r in range(rounds):
+    at, made = np.argsort(-lengths, kind="stable"), 0
+    for _ in range(rounds):
         b, o, m = sum_of_squares(lengths[at], size)
         level = np.bincount(b, lengths[at], m).astype(np.int64)
         bins[at], offsets[at], levels[at] = b + made, o, level[b]
         made += m
-        at = at[level[b] < size]
-        at = at[np.argsort(-lengths[at], kind="stable")] if r % 2 else mixed.permutation(at)
+        at = at[level[b] < enough * size]
     return bins, offsets, levels
 
 
-def _packer(size: int, rounds: int):
+def _packer(size: int, rounds: int, enough: float):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = [b for b in batches if b.num_rows]
         if not read:
@@ -99,38 +96,38 @@ def _packer(size: int, rounds: int):
         item, length, packer = (np.concatenate([b.column(c).to_numpy() for b in read]) for c in ("item", "length", "packer"))
         for p in np.unique(packer):
             at = np.flatnonzero(packer == p)
-            bins, offsets, levels = pack_lengths(length[at], size, rounds)
+            bins, offsets, levels = pack_lengths(length[at], size, rounds, enough)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (item[at], length[at], (p << 24) + bins, offsets, levels)],
                                              names=["item", "length", "bin", "offset", "level"])
 
     return pack
 
 
-def pack_items(items: DataFrame, size: int, packer_pieces: int, rounds: int) -> DataFrame:
+def pack_items(items: DataFrame, size: int, packer_pieces: int, rounds: int, enough: float) -> DataFrame:
     """Bins of (item, length): item, length, bin, offset, level."""
     packers = max(1, -(-items.count() // packer_pieces))
     dealt = items.withColumn("packer", F.pmod(F.xxhash64("item"), F.lit(packers)))
     dealt = dealt.repartition(packers, "packer").sortWithinPartitions("packer", "item").select("item", "length", "packer")
-    return cut_lineage(dealt.mapInArrow(_packer(size, rounds), "item long, length long, bin long, offset long, level long"))
+    return cut_lineage(dealt.mapInArrow(_packer(size, rounds, enough), "item long, length long, bin long, offset long, level long"))
 
 
-def pack(pieces: DataFrame, size: int = 2048, packer_pieces: int = 30_000, rounds: int = 3, levels: int = 2) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 2048, packer_pieces: int = 30_000, rounds: int = 3, levels: int = 2, enough: float = 0.95) -> DataFrame:
     """Adds sequence_id and offset to pieces with a length; other columns are kept.
 
-    Sequences are gapless from 0 and at most ``size`` long.  A packer dissolves the bins that it could not fill and
-    packs their pieces again, ``rounds`` times in all; at each further level the pieces of all packers' bins that are
-    still open are dealt anew, to fewer packers.
+    Sequences are gapless from 0 and at most ``size`` long.  A packer dissolves the bins that it filled to less than
+    ``enough`` and packs their pieces again, ``rounds`` times in all; at each further level the pieces of all packers' bins
+    that are still below it are dealt anew, to fewer packers.
     """
     item = fresh(pieces, "item")
     pieces = cut_lineage(pieces.withColumn(item, F.monotonically_increasing_id()))
     todo, done = pieces.select(F.col(item).alias("item"), F.col("length").cast("long").alias("length")), None
     for level in range(levels):
-        placed = pack_items(todo, size, packer_pieces, rounds)
+        placed = pack_items(todo, size, packer_pieces, rounds, enough)
         last = level == levels - 1
-        kept = (placed if last else placed.where(F.col("level") == size)).select(
+        kept = (placed if last else placed.where(F.col("level") >= enough * size)).select(
             F.col("item").alias(item), (F.col("bin") * levels + level).alias("sequence_id"), "offset")
         done = kept if done is None else done.unionByName(kept)
-        todo = placed.where(F.col("level") < size).select("item", "length")
+        todo = placed.where(F.col("level") < enough * size).select("item", "length")
     return pieces.join(done, item).drop(item)
 
 
