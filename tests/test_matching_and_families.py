@@ -5,7 +5,18 @@ from pyspark.sql import functions as F
 from virocohort.operators import evaluation as mt
 from virocohort.operators import families as fm
 from virocohort.operators import reconcile as rc
-from virocohort.operators.evaluation import RELATION_ORDER, _relation
+from virocohort.operators.evaluation import RELATION_ORDER
+
+
+def relation_of(x, y):
+    """The relation of two models by their ends alone."""
+    ends = (x.s == y.s, x.e == y.e)
+    if x.strand == y.strand and any(ends):
+        kept_start = ends[0] if x.strand == "+" else ends[1]
+        return "EXACT_MATCH" if all(ends) else "STOP_DIFFERENCE" if kept_start else "START_DIFFERENCE"
+    if min(x.e, y.e) - max(x.s, y.s) < 1:
+        return None
+    return "STRAND_CONFLICT" if x.strand != y.strand else "START_AND_STOP_DIFFERENCE"
 
 
 class Row:
@@ -52,7 +63,7 @@ def test_priority_relations_follow_the_rule(spark):
         used, pending = set(), list(range(len(left)))
         for pr in RELATION_ORDER:
             for i in list(pending):
-                c = [j for j in range(len(right)) if j not in used and _relation(left[i], right[j]) == pr]
+                c = [j for j in range(len(right)) if j not in used and relation_of(left[i], right[j]) == pr]
                 if len(c) == 1:
                     used.add(c[0]); pending.remove(i); want.append((left[i].model_id, right[c[0]].model_id, pr))
                 elif len(c) > 1 and pr in RELATION_ORDER[3:]:
@@ -113,3 +124,26 @@ def test_bootstrap_is_repeatable_and_brackets_the_mean(spark):
     d = spark.createDataFrame([(f"u{i}", i / 10) for i in range(9)], "unit string, diff double")
     a, b = mt.genome_bootstrap(d, 500).first(), mt.genome_bootstrap(d.repartition(3), 500).first()
     assert [round(x, 9) for x in a] == [round(x, 9) for x in b] and a.ci95_low < 0.4 < a.ci95_high
+
+
+def test_exact_permutation_has_no_limit_of_units(spark):
+    diffs = [((i * 37) % 19 - 8) / 100 for i in range(40)]
+    got = mt.sign_flip_test(spark.createDataFrame([(f"u{i}", d) for i, d in enumerate(diffs)], "unit string, diff double")).first()
+    counts = {0: 1}
+    for d in diffs:
+        step, new = round(d * 100), {}
+        for v, n in counts.items():
+            for x in (v + step, v - step):
+                new[x] = new.get(x, 0) + n
+        counts = new
+    seen = round(sum(diffs) * 100)
+    assert abs(got.p_value - sum(n for v, n in counts.items() if abs(v) >= abs(seen)) / 2**40) < 1e-9
+    assert got.units == 40 and abs(got.estimate - sum(diffs) / 40) < 1e-9 and got.null_low < 0 < got.null_high
+
+
+def test_null_keys_and_places_are_kept(spark):
+    from virocohort.operators.ordering import ordinal
+
+    df = spark.createDataFrame([("a", 5), ("a", 40_000), (None, 3), (None, 1), ("a", None)], "g string, x long")
+    got = sorted(((r.g or "", r.x or -1, r.idx) for r in ordinal(df, ["g"], "x", ["x"]).collect()))
+    assert got == [("", 1, 0), ("", 3, 1), ("a", -1, 0), ("a", 5, 1), ("a", 40_000, 2)]

@@ -88,3 +88,18 @@ def test_terminal_repeats(spark):
     dtr, itr = body + body[:33], body + rc(body[:27])
     df = spark.createDataFrame([("D", dtr), ("I", itr), ("N", body)], "genome_id string, seq string")
     assert {(r.genome_id, r.code, r.length_nt) for r in sq.terminal_repeats(df).collect()} == {("D", "DTR_CANDIDATE", 33), ("I", "ITR_CANDIDATE", 27)}
+
+
+def test_start_enumeration_is_linear(spark):
+    """One contig of half a million bases: a quadratic frame would take minutes."""
+    import random
+    import time
+
+    from virocohort.operators import orf
+
+    r = random.Random(0)
+    contig = "".join(r.choice("ACGT") for _ in range(500_000))
+    df = spark.createDataFrame([("G1", contig)], "genome_id string, seq string")
+    began = time.time()
+    found = orf.stop_starts(df, 300).count()
+    assert found > 100 and time.time() - began < 60

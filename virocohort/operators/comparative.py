@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from virocohort.functions import sequence as sq
@@ -79,16 +79,26 @@ def annotated_references(hsps: DataFrame, lengths: DataFrame, min_coverage: floa
 
 
 def sketch(contigs: DataFrame, k: int = 16, size: int = 1000) -> DataFrame:
-    """CG01: bottom-``size`` hashes of canonical words of each genome, whole sequences read."""
+    """CG01: the ``size`` smallest hashes (48 bits of md5) of canonical words of each genome, whole sequences read."""
     words = sq.explode_words(contigs.select("genome_id", F.upper("seq").alias("seq")), "seq", k).where(F.col("word").rlike("^[ACGT]+$"))
-    hashes = words.select("genome_id", F.xxhash64(F.least("word", sq.reverse_complement(F.col("word")))).alias("h")).distinct()
+    word = F.least("word", sq.reverse_complement(F.col("word")))
+    hashes = words.select("genome_id", word.alias("word")).distinct().select("genome_id", F.conv(F.substring(F.md5("word"), 1, 12), 16, 10).cast("bigint").alias("h")).distinct()
     return top_per_group(hashes, ["genome_id"], [F.asc("h")], size, "r")
 
 
-def sketch_distances(samples: DataFrame, references: DataFrame, k: int = 16) -> DataFrame:
-    """CG01: distance estimate of sample and reference sketches that share a hash."""
-    shared = samples.select(F.col("genome_id").alias("sample_id"), "h").join(references.select(F.col("genome_id").alias("reference"), "h"), "h").groupBy("sample_id", "reference").agg(F.count("*").alias("shared"))
-    size = lambda df, x: df.groupBy(F.col("genome_id").alias(x)).agg(F.count("*").alias("n_" + x))
-    out = shared.join(size(samples, "sample_id"), "sample_id").join(size(references, "reference"), "reference")
-    j = F.col("shared") / (F.col("n_sample_id") + F.col("n_reference") - F.col("shared"))
+def sketch_distances(samples: DataFrame, references: DataFrame, k: int = 16, size: int = 1000) -> DataFrame:
+    """CG01: distance estimate of sample and reference sketches that share a hash.
+
+    Of the two sketches together only the ``size`` smallest distinct hashes count.  Sketches list their hashes by rank
+    ``r``: a shared hash with ranks i and j, the m-th shared one, is the (i + j - m)-th of the merged sketch, so pairs
+    need their shared hashes alone.
+    """
+    a = samples.select(F.col("genome_id").alias("sample_id"), "h", F.col("r").alias("i"))
+    b = references.select(F.col("genome_id").alias("reference"), "h", F.col("r").alias("j"))
+    both = a.join(b, "h").withColumn("m", F.row_number().over(Window.partitionBy("sample_id", "reference").orderBy("h")))
+    shared = both.where(F.col("i") + F.col("j") - F.col("m") <= size).groupBy("sample_id", "reference").agg(F.count("*").alias("shared"))
+    every = both.groupBy("sample_id", "reference").agg(F.count("*").alias("common"))
+    count = lambda df, x: df.groupBy(F.col("genome_id").alias(x)).agg(F.count("*").alias("n_" + x))
+    out = shared.join(every, ["sample_id", "reference"]).join(count(samples, "sample_id"), "sample_id").join(count(references, "reference"), "reference")
+    j = F.col("shared") / F.least(F.lit(size), F.col("n_sample_id") + F.col("n_reference") - F.col("common"))
     return out.select("sample_id", "reference", "shared", F.greatest(F.lit(0.0), -F.log(2 * j / (1 + j)) / k).alias("distance"))

@@ -12,8 +12,10 @@ from virocohort.functions import statistics as st
 from virocohort.functions.columns import literal_map, ratio
 from virocohort.operators import intervals as iv
 from virocohort.operators.families import numbered
-from virocohort.operators.matching import mutual_best, ordered_choice, walk_groups
-from virocohort.operators.orf import biological_start, biological_stop, interval_clusters
+from virocohort.operators.matching import mutual_best, ordered_choice, single_choice
+from virocohort.operators.orf import biological_start, biological_stop
+from virocohort.operators.ordering import running_total
+from virocohort.session import cut_lineage
 
 LOCUS = ["genome_id", "s", "e", "strand"]
 # fixed category names and weights
@@ -76,48 +78,29 @@ def relation(s1, e1, d1, s2, e2, d2) -> Column:
 
 
 def compare_models(a: DataFrame, b: DataFrame) -> DataFrame:
-    """MT03: relation of every model of two methods, matched in priority order.
+    """MT03: relation of every model of two methods, one kind of relation after the other.
 
-    The rule walks models in order and uses partners up, which only matters among overlapping
-    models: each run of overlapping intervals is walked on its own.
+    Within a kind, models of ``a`` in order of place take a partner if exactly one is still free; with several, the last
+    two kinds call the model complex.  Partners are used up, so each kind is settled in rounds of joins (``single_choice``)
+    over overlapping pairs alone; what is left over is complex where it overlaps an unused model, or one-sided.
     """
-    cols = ["genome_id", "model_id", "s", "e", "strand"]
-    both = a.select(*cols, F.lit("a").alias("side")).unionByName(b.select(*cols, F.lit("b").alias("side")))
-    clusters = interval_clusters(both.withColumn("cand_id", F.concat("side", "model_id")), ["genome_id"])
-
-    def walk(rows: list) -> list[tuple]:
-        left, right = ([r for r in rows if r.side == side] for side in "ab")
-        used, out = set(), []
-        pending = list(range(len(left)))
-        links = [[(j, _relation(x, y)) for j, y in enumerate(right)] for x in left]
-        for priority in RELATION_ORDER:
-            for i in list(pending):
-                found = [j for j, r in links[i] if r == priority and j not in used]
-                if len(found) == 1:
-                    used.add(found[0])
-                    pending.remove(i)
-                    out.append((left[i].model_id, right[found[0]].model_id, priority))
-                elif len(found) > 1 and priority in RELATION_ORDER[3:]:
-                    pending.remove(i)
-                    out.append((left[i].model_id, None, "COMPLEX"))
-        for i in pending:
-            open_ = any(j not in used and min(left[i].e, right[j].e) - max(left[i].s, right[j].s) + 1 > 1 for j in range(len(right)))
-            out.append((left[i].model_id, None, "COMPLEX" if open_ else "METHOD_A_ONLY"))
-        out += [(None, y.model_id, "METHOD_B_ONLY") for j, y in enumerate(right) if j not in used]
-        return [(rows[0].genome_id, *row) for row in out]
-
-    return walk_groups(clusters, ["genome_id", "cluster"], ["s", "e", "model_id"], walk, "genome_id string, a_id string, b_id string, relationship string")
-
-
-def _relation(x, y) -> str | None:
-    shared = min(x.e, y.e) - max(x.s, y.s) + 1
-    if x.strand == y.strand and (x.s == y.s or x.e == y.e):
-        if x.s == y.s and x.e == y.e:
-            return "EXACT_MATCH"
-        return "STOP_DIFFERENCE" if (x.s == y.s) == (x.strand == "+") else "START_DIFFERENCE"
-    if shared <= 1:
-        return None
-    return "START_AND_STOP_DIFFERENCE" if x.strand == y.strand else "STRAND_CONFLICT"
+    side = lambda df, x: df.select("genome_id", F.col("model_id").alias(x), *[F.col(c).alias(c + x) for c in ("s", "e", "strand")])
+    pairs = iv.overlap_join(side(a, "p"), side(b, "d"), ["genome_id"], ("sp", "ep"), ("sd", "ed"))
+    kind = relation(F.col("sp"), F.col("ep"), F.col("strandp"), F.col("sd"), F.col("ed"), F.col("strandd"))
+    pairs = cut_lineage(pairs.select("genome_id", "p", "d", F.struct("sp", "ep", "p").alias("turn"), kind.alias("kind"), (F.col("overlap") > 1).alias("deep")))
+    told = pairs.where("false").select("genome_id", F.col("p").alias("a_id"), F.col("d").alias("b_id"), F.lit("").alias("relationship"))
+    for n, name in enumerate(RELATION_ORDER):
+        open_ = pairs.where(F.col("kind") == name).join(told.select("genome_id", F.col("a_id").alias("p")), ["genome_id", "p"], "left_anti").join(
+            told.where("b_id is not null").select("genome_id", F.col("b_id").alias("d")), ["genome_id", "d"], "left_anti")
+        settled = single_choice(open_).where("d is not null" if n < 3 else "free > 0")
+        told = told.unionByName(settled.select("genome_id", F.col("p").alias("a_id"), F.col("d").alias("b_id"), F.when(F.col("d").isNull(), "COMPLEX").otherwise(name).alias("relationship")))
+    used = told.where("b_id is not null").select("genome_id", F.col("b_id").alias("d"))
+    touching = pairs.where("deep").join(used, ["genome_id", "d"], "left_anti").select("genome_id", F.col("p").alias("a_id"), F.lit(True).alias("touches")).distinct()
+    rest = a.select("genome_id", F.col("model_id").alias("a_id")).join(told.where("a_id is not null").select("genome_id", "a_id"), ["genome_id", "a_id"], "left_anti")
+    rest = rest.join(touching, ["genome_id", "a_id"], "left").select("genome_id", "a_id", F.lit(None).cast("string").alias("b_id"), F.when(F.col("touches"), "COMPLEX").otherwise("METHOD_A_ONLY").alias("relationship"))
+    alone = b.select("genome_id", F.col("model_id").alias("d")).join(used, ["genome_id", "d"], "left_anti").select(
+        "genome_id", F.lit(None).cast("string").alias("a_id"), F.col("d").alias("b_id"), F.lit("METHOD_B_ONLY").alias("relationship"))
+    return told.unionByName(rest).unionByName(alone)
 
 
 def greedy_matches(ref: DataFrame, pred: DataFrame) -> DataFrame:
@@ -141,7 +124,9 @@ def stop_comparison(pred: DataFrame, ref: DataFrame) -> DataFrame:
     r = ref.select("genome_id", "strand", stop.alias("stop"), F.col("model_id").alias("p"), "s", "e", "parts")
     pairs = r.join(p, ["genome_id", "strand", "stop"])
     moved = F.abs(F.col("s1") - F.col("s")) + F.abs(F.col("e1") - F.col("e"))
-    pref = F.struct((F.col("x1") == F.col("parts")).alias("a"), (moved == 0).alias("b"), (-moved).alias("c"), F.col("d").alias("z"))
+    place = F.row_number().over(Window.partitionBy("genome_id", "p").orderBy("s1", "e1", "d"))  # of full ties the first is taken
+    pairs = pairs.withColumn("place", place)
+    pref = F.struct((F.col("x1") == F.col("parts")).alias("a"), (moved == 0).alias("b"), (-moved).alias("c"), (-F.col("place")).alias("z"))
     edges = pairs.select("genome_id", "p", "d", F.struct("s", "e", "p").alias("turn"), pref.alias("pref"), F.lit(True).alias("fits"), F.lit(0).alias("overlap"))
     got = ordered_choice(edges).select("genome_id", "p", "d")
     shape = pairs.select("p", "d", F.when(F.col("x1") == F.col("parts"), "exact").when(moved == 0, "structure_mismatch").otherwise("stop_only").alias("outcome"))
@@ -264,36 +249,51 @@ def utility(judgments: DataFrame, keys: Sequence[str]) -> DataFrame:
     return g.select(*keys, "units", "not_evaluable", "missing", "utility_sum", ratio(F.col("utility_sum"), n).alias("lower_bound"), ratio(F.col("utility_sum") + F.col("missing"), n).alias("upper_bound"))
 
 
-def sign_flip_test(diffs: DataFrame) -> DataFrame:
-    """MT15: exact paired permutation over all sign vectors (unit, diff); units must be at most 24.
+def sign_flip_test(diffs: DataFrame, scale: int = 1_000_000_000) -> DataFrame:
+    """MT15: exact paired permutation over all sign vectors (unit, diff).
 
-    Sign vectors are rows of a range, so the enumeration is spread over tasks; each row sums the few
-    unit differences as an array.
+    The distribution of the signed sums is built up unit by unit as a table of (sum, how many vectors): each round joins
+    nothing and merges equal sums, so its size is that of distinct sums, not of 2^n vectors.  Differences are taken in steps of
+    1 / ``scale``.  The interval is that of the null distribution: the vectors at ranks ceil(0.025 n) and floor(0.975 n) + 1.
     """
     spark = diffs.sparkSession
-    units = diffs.select("unit", "diff").orderBy("unit").limit(25).collect()
-    if len(units) > 24:
-        raise ValueError("an exact test enumerates 2^n sign vectors; use genome_bootstrap for more than 24 units")
-    n = len(units)
-    signs = F.array(*[F.lit(float(r["diff"])) for r in units])
-    flipped = F.zip_with(signs, F.sequence(F.lit(0), F.lit(n - 1)), lambda d, i: F.when(F.call_function("getbit", F.col("id"), i) == 1, d).otherwise(-d))
-    mean = F.aggregate(flipped, F.lit(0.0), lambda a, x: a + x) / n
-    observed = sum(float(r["diff"]) for r in units) / n
-    dist = spark.range(2 ** n).select(mean.alias("v"))
-    return dist.agg(F.lit(observed).alias("estimate"), F.lit(n).alias("units"), (F.count_if(F.abs("v") >= abs(observed) - 1e-15) / F.count("*")).alias("p_value"))
+    steps = [r[0] for r in diffs.select(F.round(F.col("diff") * scale).cast("long").alias("d")).collect()]  # one number per unit of the panel
+    n, observed = len(steps), sum(steps)
+    dist = spark.range(1).select(F.lit(0).cast("long").alias("v"), F.lit(1).cast("decimal(38,0)").alias("n"))
+    for k, d in enumerate(steps):
+        both = dist.select(F.explode(F.array(F.col("v") + d, F.col("v") - d)).alias("v"), "n")
+        dist = both.groupBy("v").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+        if k % 6 == 5:
+            dist = cut_lineage(dist)
+    total = 1 << n
+    before = ordering_total(dist)
+    low, high = max(0, -(-total * 25 // 1000) - 1), min(total - 1, total * 975 // 1000)
+    at = lambda rank: F.min(F.when(F.col("upto") > F.lit(rank).cast("decimal(38,0)"), F.col("v"))) / (scale * max(n, 1))
+    extreme = F.sum(F.when(F.abs("v") >= abs(observed), F.col("n"))).cast("double") / F.lit(float(total))
+    return before.agg(F.lit(observed / scale / n if n else None).cast("double").alias("estimate"), F.lit(n).alias("units"), extreme.alias("p_value"), at(low).alias("null_low"), at(high).alias("null_high"))
+
+
+def ordering_total(dist: DataFrame) -> DataFrame:
+    """The distribution with ``upto``, the vectors up to each sum."""
+    span = dist.agg(F.max(F.abs("v"))).first()[0] or 0
+    return running_total(dist, [], "v", ["v"], F.col("n"), "upto", max(1, span // 64), "decimal(38,0)")
 
 
 def genome_bootstrap(diffs: DataFrame, iterations: int = 20_000, seed: int = 12020260918) -> DataFrame:
-    """MT16: percentile interval of the mean difference over resampled units.
+    """MT16: estimate and percentile interval of the mean difference over resampled units (order statistics).
 
-    Draws are hashes of (seed, iteration, draw) and so the same on every run and cluster.
+    Draws are md5 hashes of (seed, iteration, draw) and so the same on every run, cluster and engine.
     """
     indexed = numbered(diffs.withColumn("h", F.md5("unit")), "h", "i", 0)
     n = indexed.agg(F.count("*").alias("n"))
     draws = diffs.sparkSession.range(iterations).withColumn("n", n.scalar()).withColumn("d", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
-    draws = draws.select("id", F.pmod(F.xxhash64(F.lit(seed), "id", "d"), F.col("n")).alias("i"))
-    means = draws.join(indexed, "i").groupBy("id").agg(F.avg("diff").alias("m"))
-    return means.agg(F.count("*").alias("iterations"), F.percentile("m", 0.025).alias("ci95_low"), F.percentile("m", 0.975).alias("ci95_high"), F.avg("m").alias("mean"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "id", "d")), 1, 12), 16, 10).cast("bigint")
+    draws = draws.select("id", F.pmod(drawn, F.col("n")).alias("i"))
+    means = draws.join(indexed, "i").groupBy("id").agg(F.round(F.avg("diff"), 12).alias("m"))
+    ranked = running_total(means, [], "m", ["m", "id"], F.lit(1), "at", 0.01)
+    pick = lambda k: F.max(F.when(F.col("at") == k + 1, F.col("m")))
+    found = ranked.agg(F.count("*").alias("iterations"), pick(int(0.025 * iterations)).alias("ci95_low"), pick(int(0.975 * iterations) - 1).alias("ci95_high"))
+    return found.withColumn("estimate", diffs.agg(F.avg("diff")).scalar())
 
 
 def decision_changes(before: DataFrame, after: DataFrame, fields: Sequence[str]) -> DataFrame:

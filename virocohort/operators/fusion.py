@@ -506,3 +506,15 @@ def interest_score(unknown: Column, domain_strong: Column, modalities: Column, l
     penalty = F.when(length_aa < 40, 15).otherwise(0)
     diversity = F.when(modalities >= 4, "High").when(modalities >= 2, "Moderate").when(modalities >= 1, "Low").otherwise("None")
     return F.greatest(F.lit(0), F.least(F.lit(100), signal + convergence - penalty)), diversity
+
+
+def rank_candidates(proteins: DataFrame) -> DataFrame:
+    """FU22: rank all candidates of each genome (genome_id, protein_id, interest, strong: has supporting strong evidence).
+
+    Where no candidate of a genome has such evidence the ranks are null and the status says so.  Ranks are counted in
+    bins of the score, so a genome with most candidates isn't one task.
+    """
+    ranked = ordinal(proteins.withColumn("__down", -F.col("interest")), ["genome_id"], "__down", ["__down", "protein_id"], "rank", 1)
+    status = proteins.groupBy("genome_id").agg(F.when(F.bool_or("strong"), "RANKED").otherwise("INSUFFICIENT_EVIDENCE").alias("ranking_status"))
+    return ranked.join(status, "genome_id").select(
+        "genome_id", "protein_id", "interest", F.when(F.col("ranking_status") == "RANKED", F.col("rank") + 1).alias("rank"), "ranking_status")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,16 +21,35 @@ def ordered_choice(edges: DataFrame) -> DataFrame:
     """
     edges = cut_lineage(edges)
     columns = ["genome_id", "p", "d", "overlap"]
-    matched = edges.where("false").select(*columns)
+    matched = [edges.where("false").select(*columns)]
     while not edges.isEmpty():
         wish = edges.groupBy("genome_id", "p").agg(F.max_by(F.struct("d", "fits", "overlap", "turn"), "pref").alias("w")).select("genome_id", "p", "w.*")
         first = edges.groupBy("genome_id", "d").agg(F.min("turn").alias("first_turn"))
         ready = cut_lineage(wish.join(first, ["genome_id", "d"]).where("turn = first_turn").select(*columns, "fits"))
         new = ready.where("fits").select(*columns)
-        matched = cut_lineage(matched.unionByName(new))
+        matched.append(new)
         edges = cut_lineage(edges.join(ready.select("genome_id", "p"), ["genome_id", "p"], "left_anti").join(
             new.select("genome_id", "d"), ["genome_id", "d"], "left_anti"))
-    return matched
+    return reduce(DataFrame.unionByName, matched)
+
+
+def single_choice(edges: DataFrame) -> DataFrame:
+    """Each ``p``, in ``turn`` order, takes its free ``d`` if it has exactly one; result: genome_id, p, free (how many were
+    free at its turn), d (the one taken, else null).  A ``p`` whose partners were all taken before its turn is left out.
+
+    Edges: genome_id, p, d, turn.  A ``p`` decides once no earlier undecided one shares a partner with it.
+    """
+    edges = cut_lineage(edges.select("genome_id", "p", "d", "turn"))
+    decided = [edges.where("false").select("genome_id", "p", F.lit(0).cast("long").alias("free"), "d")]
+    while not edges.isEmpty():
+        first = edges.groupBy("genome_id", "d").agg(F.min("turn").alias("first_turn"))
+        ready = cut_lineage(edges.join(first, ["genome_id", "d"]).groupBy("genome_id", "p").agg(
+            F.count("*").alias("free"), F.bool_and(F.col("turn") == F.col("first_turn")).alias("now"), F.min("d").alias("d"))
+            .where("now").select("genome_id", "p", "free", F.when(F.col("free") == 1, F.col("d")).alias("d")))
+        decided.append(ready)
+        edges = cut_lineage(edges.join(ready.select("genome_id", "p"), ["genome_id", "p"], "left_anti").join(
+            ready.where("d is not null").select("genome_id", "d"), ["genome_id", "d"], "left_anti"))
+    return reduce(DataFrame.unionByName, decided)
 
 
 def mutual_best(edges: DataFrame) -> DataFrame:
@@ -39,14 +59,14 @@ def mutual_best(edges: DataFrame) -> DataFrame:
     ends must be taken by the sorted walk too, so whole rounds of such edges can be taken at once.
     """
     edges = cut_lineage(edges.select("genome_id", "p", "d", "rank"))
-    matched = edges.where("false")
+    matched = [edges.where("false")]
     while not edges.isEmpty():
         best_p = edges.groupBy("genome_id", "p").agg(F.max("rank").alias("bp"))
         best_d = edges.groupBy("genome_id", "d").agg(F.max("rank").alias("bd"))
         new = cut_lineage(edges.join(best_p, ["genome_id", "p"]).join(best_d, ["genome_id", "d"]).where("rank = bp and rank = bd").select("genome_id", "p", "d", "rank"))
-        matched = cut_lineage(matched.unionByName(new))
+        matched.append(new)
         edges = cut_lineage(edges.join(new.select("genome_id", "p"), ["genome_id", "p"], "left_anti").join(new.select("genome_id", "d"), ["genome_id", "d"], "left_anti"))
-    return matched
+    return reduce(DataFrame.unionByName, matched)
 
 
 def walk_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], walk: Callable[[list], list[tuple]], schema: str) -> DataFrame:

@@ -18,18 +18,22 @@ INDEX_BLOCK = 1024
 
 
 def running_total(df: DataFrame, keys: Sequence[str], axis: str, order: Sequence[str], value: Column,
-                  name: str, size: int = AXIS_BIN) -> DataFrame:
-    """Inclusive running sum of ``value`` per key in ``order``, whose first column is ``axis``."""
+                  name: str, size: float = AXIS_BIN, kind: str = "bigint") -> DataFrame:
+    """Inclusive running sum of ``value`` per key in ``order``, whose first column is ``axis``.
+
+    Rows with a null key or place are kept: nulls are a key, and the first place, of their own.
+    """
     df = df.withColumn("__bin", F.floor(F.col(axis) / size)).withColumn("__v", value)
     totals = df.groupBy(*keys, "__bin").agg(F.sum("__v").alias("__t"))
     earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__bin", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__o"))
+    offsets = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__bin"])], F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__o"))
     inside = Window.partitionBy(*keys, "__bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, "__bin"])]
     return (
         df.withColumn("__r", F.sum("__v").over(inside))
-        .join(offsets, [*keys, "__bin"])
-        .withColumn(name, (F.col("__o") + F.col("__r")).cast("bigint"))
-        .drop("__bin", "__v", "__r", "__o")
+        .join(offsets, same)
+        .withColumn(name, (F.col("__o") + F.col("__r")).cast(kind))
+        .drop("__bin", "__v", "__r", "__o", *[f"__k{i}" for i in range(len(keys) + 1)])
     )
 
 

@@ -43,8 +43,9 @@ def codons(contigs: DataFrame, both_strands: bool = True) -> DataFrame:
 def forward_orfs(contigs: DataFrame, min_nt: int = MIN_CDS_NT) -> DataFrame:
     """OR01: per forward frame, the first ATG after a stop up to the next stop."""
     marks = codons(contigs, both_strands=False).where("kind = 'stop' or codon = 'ATG'")
-    ahead = Window.partitionBy("genome_id", "frame").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    stop_at = F.min(F.when(F.col("kind") == "stop", F.col("pos"))).over(ahead)
+    # walked backwards, the next stop is the last one seen: a running frame, linear in the codons
+    ahead = Window.partitionBy("genome_id", "frame").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    stop_at = F.last(F.when(F.col("kind") == "stop", F.col("pos")), ignorenulls=True).over(ahead)
     orfs = (
         marks.withColumn("stop_pos", stop_at)
         .where("kind = 'start' and stop_pos is not null")
@@ -58,8 +59,8 @@ def forward_orfs(contigs: DataFrame, min_nt: int = MIN_CDS_NT) -> DataFrame:
 
 def stop_starts(contigs: DataFrame, min_nt: int = MIN_CDS_NT) -> DataFrame:
     """OR02: every start in frame with a stop, back to the previous stop or unreadable codon."""
-    ahead = Window.partitionBy("genome_id", "strand", "frame").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    barrier = F.first(F.when(F.col("kind") != "start", F.struct("pos", "kind")), ignorenulls=True).over(ahead)
+    ahead = Window.partitionBy("genome_id", "strand", "frame").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    barrier = F.last(F.when(F.col("kind") != "start", F.struct("pos", "kind")), ignorenulls=True).over(ahead)
     found = codons(contigs).withColumn("b", barrier).where("kind = 'start' and b.kind = 'stop'")
     found = found.select("genome_id", "genome_length", "strand", F.col("codon").alias("start_codon"),
                          F.col("pos").cast("bigint").alias("left"), (F.col("b.pos") + 3).cast("bigint").alias("right"))

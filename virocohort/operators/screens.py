@@ -39,7 +39,8 @@ def aligned_positions(hsps: DataFrame) -> DataFrame:
 
 
 def project_reference_cds(positions: DataFrame, reference_cds: DataFrame, cds: DataFrame, bin_size: int = 1000) -> DataFrame:
-    """IV17: carry reference genes through one alignment and compare with the called genes.
+    """IV17: carry reference genes through one alignment and compare with the called genes: one row for each aligned
+    genome and gene of its reference, unmapped ones too.
 
     reference_cds: reference_id, gene, rs, re, rstrand (+1/-1); cds: genome_id, model_id, s, e, strand.
     """
@@ -54,9 +55,10 @@ def project_reference_cds(positions: DataFrame, reference_cds: DataFrame, cds: D
                                               F.when(F.col("lo.d") == 1, "+").otherwise("-").alias("strand"))
     hits = iv.overlap_join(single, cds.select("genome_id", "model_id", "s", "e", "strand"), ["genome_id", "strand"], ("qs", "qe"), ("s", "e")).groupBy("genome_id", "reference_id", "gene").agg(
         F.count("*").alias("hits"), F.bool_or((F.col("s") == F.col("qs")) & (F.col("e") == F.col("qe"))).alias("exact"))
-    out = reference_cds.select("reference_id", "gene", "rs", "re").join(
+    aligned = positions.select("genome_id", "reference_id").distinct()
+    out = aligned.join(reference_cds.select("reference_id", "gene", "rs", "re"), "reference_id").join(
         per_gene.select("genome_id", "reference_id", "gene", (F.col("lo") != F.col("hi")).alias("ambiguous"), F.col("lo.s").alias("query_start"), F.col("lo.e").alias("query_end")),
-        ["reference_id", "gene"], "left").join(hits, ["genome_id", "reference_id", "gene"], "left")
+        ["genome_id", "reference_id", "gene"], "left").join(hits, ["genome_id", "reference_id", "gene"], "left")
     status = (
         F.when(F.col("ambiguous").isNull(), "UNMAPPABLE_REFERENCE_CDS")
         .when(F.col("ambiguous"), "AMBIGUOUS_REFERENCE_MAPPING")
@@ -65,7 +67,7 @@ def project_reference_cds(positions: DataFrame, reference_cds: DataFrame, cds: D
         .when(F.col("hits") > 0, "BOUNDARY_DISAGREEMENT")
         .otherwise("POSSIBLE_MISSED_CDS")
     )
-    return out.select("reference_id", "gene", "rs", "re", "query_start", "query_end", status.alias("status"))
+    return out.select("genome_id", "reference_id", "gene", "rs", "re", "query_start", "query_end", status.alias("status"))
 
 
 def frameshift_candidates(cds: DataFrame, hits: DataFrame, max_gap: int = 100) -> DataFrame:

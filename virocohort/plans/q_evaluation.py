@@ -217,14 +217,18 @@ def band_diffs(spark, sf):
 
 @query("mt15_sign_flip_test", "sparse_models", f"""
 with {BANDS}, o as (select *, row_number() over (order by unit) - 1 i from df), sg as (select v.range id, sum(case when (v.range >> i) & 1 = 1 then diff else -diff end) / 10 m from range(0, 1024) v, o group by 1), ob as (select sum(diff) / 10 x from o)
-select round(x, 6) estimate, 10 units, round(count(*) filter (where abs(m) >= abs(x) - 1e-12) / 1024, 6) p_value from sg, ob group by x""")
+select round(x, 6) estimate, 10 units, round(count(*) filter (where abs(m) >= abs(x) - 1e-9) / 1024, 6) p_value, round((list(m order by m))[26], 6) null_low, round((list(m order by m))[999], 6) null_high from sg, ob group by x""")
 def mt15(spark, sf):
     return rounded(mt.sign_flip_test(band_diffs(spark, sf)))
 
 
-@query("mt16_genome_bootstrap")
+@query("mt16_genome_bootstrap", "sparse_models", f"""
+with {BANDS}, ix as (select diff, row_number() over (order by md5(unit)) - 1 i, count(*) over () n from df),
+ dr as (select it.range id, ('0x' || substr(md5('12020260918-' || it.range || '-' || d.range), 1, 12))::bigint % (select max(n) from ix) i from range(0, 20000) it, range(1, (select max(n) + 1 from ix)) d),
+ mm as (select round(avg(diff), 12) m from dr join ix using (i) group by id)
+select count(*) iterations, round((list(m order by m))[501], 6) ci95_low, round((list(m order by m))[19500], 6) ci95_high, round((select avg(diff) from df), 6) estimate from mm""")
 def mt16(spark, sf):
-    return mt.genome_bootstrap(band_diffs(spark, sf), iterations=20_000)
+    return rounded(mt.genome_bootstrap(band_diffs(spark, sf), iterations=20_000))
 
 
 l1, h1 = wil("k1::double", "n1::double")

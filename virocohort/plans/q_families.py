@@ -292,12 +292,23 @@ def cg01(spark, sf):
     return nearest(spark, sf)
 
 
-@query("cg01_sketch_distances")
+CANON = "least(w, translate(reverse(w), 'ACGT', 'TGCA'))"
+
+
+@query("cg01_sketch_distances", "contigs", f"""
+with v as (select genome_id, seq from contigs union all select 'V' || genome_id, substr(seq, 1, 699) || 'ACGTTGCA' || substr(seq, 720) from contigs),
+ x as (select distinct genome_id, ('0x' || substr(md5({CANON}), 1, 12))::bigint h from (select genome_id, unnest(list_transform(range(1, length(seq) - 14), lambda i: substr(seq, i, 16))) w from v)),
+ k as (select * from x qualify row_number() over (partition by genome_id order by h) <= 400),
+ q as (select s.genome_id sample_id, r.genome_id reference, s.h from k s join k r on s.h = r.h where s.genome_id[1] = 'G' and r.genome_id[1] = 'V'),
+ pr as (select distinct sample_id, reference from q),
+ mg as (select * from (select distinct sample_id, reference, h from pr join k on k.genome_id in (sample_id, reference)) qualify row_number() over (partition by sample_id, reference order by h) <= 400),
+ c as (select mg.sample_id, mg.reference, count(*) n, count(q.h) shared from mg left join q on mg.sample_id = q.sample_id and mg.reference = q.reference and mg.h = q.h group by 1, 2)
+select sample_id, reference, shared, round(greatest(0, -ln(2 * shared / n / (1 + shared / n)) / 16), 9) distance from c where shared > 0""")
 def cg01s(spark, sf):
-    """Sketches of the contigs against references that hold the first 1,400 bases of each."""
+    """Sketches of the whole contigs against those of variants with twenty bases replaced by eight."""
     c = load(spark, sf, "contigs")
-    refs = c.select("genome_id", F.substring("seq", 1, 1400).alias("seq"))
-    return cg.sketch_distances(cg.sketch(c, 16, 400), cg.sketch(refs, 16, 400))
+    variants = c.select(F.concat(F.lit("V"), "genome_id").alias("genome_id"), F.expr("concat(substr(seq, 1, 699), 'ACGTTGCA', substr(seq, 720))").alias("seq"))
+    return cg.sketch_distances(cg.sketch(c, 16, 400), cg.sketch(variants, 16, 400), 16, 400).withColumn("distance", F.round("distance", 9))
 
 
 VAR = "case cast(substr(genome_id, 2) as int) % 4 when 0 then seq when 1 then {rc} when 2 then concat(substr(seq, 701), substr(seq, 1, 700)) else substr(seq, 2) end"

@@ -264,16 +264,16 @@ def fu20(spark, sf):
     return fu.cds_confidence(m, secondary, primary.where("s % 11 = 0").select("model_id"), strict=True)
 
 
-INTEREST = f"""{CH}, iv as (select p.protein_id, p.genome_id, p.e - p.s + 1 - 199 len, bool_or(source = 'Pfam' and strength = 'STRONG') dom, count(distinct source) filter (where supports) mods from proteins p left join ch using (protein_id) group by all),
+INTEREST = f"""{CH}, iv as (select p.protein_id, p.genome_id, p.e - p.s + 1 - 199 len, bool_or(source = 'Pfam' and strength = 'STRONG') dom, coalesce(bool_or(supports and strength in ('STRONG', 'EXPERIMENTAL')), false) strong, count(distinct source) filter (where supports) mods from proteins p left join ch using (protein_id) group by all),
  io as (select *, coalesce(mods, 0) <= 3 unk from iv), ip as (select *, greatest(0, least(100, case when unk and dom then 12 else 0 end + case when unk then least(16, greatest(0, mods - 1) * 4) else 0 end - case when len < 40 then 15 else 0 end))::bigint interest,
   case when mods >= 4 then 'High' when mods >= 2 then 'Moderate' when mods >= 1 then 'Low' else 'None' end diversity from io)"""
 
 
 def interests(spark, sf):
-    h = classified_hits(spark, sf).groupBy("protein_id").agg(F.bool_or(F.expr("source = 'Pfam' and strength = 'STRONG'")).alias("dom"), F.count_distinct(F.expr("if(supports, source, null)")).alias("mods"))
+    h = classified_hits(spark, sf).groupBy("protein_id").agg(F.bool_or(F.expr("source = 'Pfam' and strength = 'STRONG'")).alias("dom"), F.bool_or(F.expr("supports and strength in ('STRONG', 'EXPERIMENTAL')")).alias("strong"), F.count_distinct(F.expr("if(supports, source, null)")).alias("mods"))
     p = load(spark, sf, "proteins").join(h, "protein_id", "left").withColumn("mods", F.coalesce("mods", F.lit(0)))
     score, diversity = fu.interest_score(F.col("mods") <= 3, F.coalesce("dom", F.lit(False)), F.col("mods"), F.col("e") - F.col("s") + 1 - 199)
-    return p.select("protein_id", "genome_id", score.alias("interest"), diversity.alias("diversity"), (F.col("mods") <= 3).alias("unknown"))
+    return p.select("protein_id", "genome_id", F.coalesce("strong", F.lit(False)).alias("strong"), score.alias("interest"), diversity.alias("diversity"), (F.col("mods") <= 3).alias("unknown"))
 
 
 @query("fu21_interest_score", "hits proteins", f"with {INTEREST} select protein_id, interest, diversity from ip")
@@ -281,10 +281,11 @@ def fu21(spark, sf):
     return interests(spark, sf).select("protein_id", "interest", "diversity")
 
 
-@query("fu22_candidate_ranking", "hits proteins", f"with {INTEREST} select genome_id, protein_id, interest, row_number() over (partition by genome_id order by interest desc, protein_id) rank from ip where unk qualify rank <= 5")
+@query("fu22_candidate_ranking", "hits proteins", f"""
+with {INTEREST}, c as (select *, bool_or(strong) over (partition by genome_id) sure from ip where unk)
+select genome_id, protein_id, interest, case when sure then row_number() over (partition by genome_id order by interest desc, protein_id) end rank, case when sure then 'RANKED' else 'INSUFFICIENT_EVIDENCE' end ranking_status from c""")
 def fu22(spark, sf):
-    from virocohort.operators.families import top_per_group
-    return top_per_group(interests(spark, sf).where("unknown"), ["genome_id"], [F.desc("interest"), F.asc("protein_id")], 5).select("genome_id", "protein_id", "interest", "rank")
+    return fu.rank_candidates(interests(spark, sf).where("unknown"))
 
 
 @query("wn01_gene_order", "proteins", """

@@ -216,19 +216,19 @@ IV17_GENES = "select genome_id reference_id, model_id gene, s rs, e re, case whe
 
 
 @query("iv17_reference_projection", "calls contigs", f"""
-with g as ({IV17_GENES.format(calls='calls')}), c as (select genome_id, model_id, s, e, strand from calls where provider = 'phanotate' and strand = '+'),
+with g as ({IV17_GENES.format(calls='calls')}), c as (select genome_id, model_id, s, e, strand from calls where provider = 'phanotate'),
  m as (select *, case when rs >= 1 and re <= 900 then rs when rs >= 951 and re <= 1250 then rs + 50 when rs >= 1251 and re <= 1944 then rs + 56
         when rs between 951 and 1250 and re between 1251 and 1944 then rs + 50 end qs,
    case when rs >= 1 and re <= 900 then re when rs >= 951 and re <= 1250 then re + 50 when rs >= 1251 and re <= 1944 then re + 56
         when rs between 951 and 1250 and re between 1251 and 1944 then re + 56 end qe from g),
- h as (select m.reference_id, gene, count(*) hits, bool_or(c.s = qs and c.e = qe) exact from m join c on m.reference_id = c.genome_id and rstrand = 1 and c.s <= qe and c.e >= qs group by 1, 2)
-select reference_id, gene, qs query_start, qe query_end, case when qs is null then 'UNMAPPABLE_REFERENCE_CDS' when qe - qs <> re - rs then 'INDEL_REQUIRES_REVIEW' when exact then 'EXACT_BOUNDARY_SUPPORT'
+ h as (select m.reference_id, gene, count(*) hits, bool_or(c.s = qs and c.e = qe) exact from m join c on m.reference_id = c.genome_id and c.strand = case when rstrand = 1 then '+' else '-' end and c.s <= qe and c.e >= qs group by 1, 2)
+select reference_id genome_id, reference_id, gene, qs query_start, qe query_end, case when qs is null then 'UNMAPPABLE_REFERENCE_CDS' when qe - qs <> re - rs then 'INDEL_REQUIRES_REVIEW' when exact then 'EXACT_BOUNDARY_SUPPORT'
   when hits > 0 then 'BOUNDARY_DISAGREEMENT' else 'POSSIBLE_MISSED_CDS' end status from m left join h using (reference_id, gene)""")
 def iv17(spark, sf):
     calls = load(spark, sf, "calls")
-    own = calls.where("provider = 'phanotate' and strand = '+'")
+    own = calls.where("provider = 'phanotate'")
     return sc.project_reference_cds(sc.aligned_positions(reference_alignments(spark, sf)), spark.sql(IV17_GENES, calls=calls), own).select(
-        "reference_id", "gene", F.col("query_start").cast("bigint").alias("query_start"), F.col("query_end").cast("bigint").alias("query_end"), "status")
+        "genome_id", "reference_id", "gene", F.col("query_start").cast("bigint").alias("query_start"), F.col("query_end").cast("bigint").alias("query_end"), "status")
 
 
 SPLIT_HITS = """select model_id, 'Swiss-Prot' source, concat('T', cast(s % 7 as varchar(10))) target, s % 500 subject_start, s % 500 + (e - s) / 3 subject_end, 1e-10 evalue from {models}"""
