@@ -74,6 +74,32 @@ def test_short_orf_acceptance_is_greedy_by_strand_and_stop(spark):
     assert got == {"c1": True, "c2": False, "c3": True, "c4": False, "c5": False}
 
 
+def test_short_orf_audit_holds_at_each_turn(spark):
+    """Against a walk over single bases, every candidate told after the ORFs accepted before it."""
+    rng = random.Random(6)
+    genes = [(f"G{rng.randint(0, 1)}", f"g{i}", s, s + rng.randint(100, 200), "+") for i in range(12) for s in [rng.randint(1, 3000)]]
+    rows = [(f"G{rng.randint(0, 1)}", f"c{i:03d}", rng.choice("+-"), s, s + rng.randint(75, 250), rng.randint(1, 900), float(rng.randint(5, 20)), rng.random() < 0.7) for i in range(200) for s in [rng.randint(1, 3000)]]
+    free = {r[1]: set(range(r[3], r[4] + 1)) - {x for g in genes if g[0] == r[0] for x in range(g[2], g[3] + 1)} for r in rows}
+    blocks = lambda s, e, gs, ge: min(e, ge) - max(s, gs) + 1 > 4 or (min(e, ge) >= max(s, gs) and (s <= gs and e >= ge or gs <= s and ge >= e))
+    gap = {r[1]: not any(g[0] == r[0] and blocks(r[3], r[4], g[2], g[3]) for g in genes) for r in rows}
+    table = [(*r[:7], len(free[r[1]]), gap[r[1]], r[7] and gap[r[1]] and len(free[r[1]]) >= 30, "x") for r in rows]
+    want, taken, stops = {}, [], {}
+    for r in sorted(rows, key=lambda r: (r[2], r[5], -r[6], r[3])):
+        stops.setdefault((r[0], r[2], r[5]), []).append(r)
+    for (genome, *_), members in sorted(stops.items(), key=lambda kv: kv[0][1:]):
+        mine = [t for g, *t in taken if g == genome]
+        told = {r[1]: (len(free[r[1]] - {x for s, e in mine for x in range(s, e + 1)}), gap[r[1]] and not any(blocks(r[3], r[4], s, e) for s, e in mine)) for r in members}
+        best = next((r for r in members if r[7] and told[r[1]][1] and told[r[1]][0] >= 30), None)
+        for r in members:
+            want[r[1]] = (*told[r[1]], r is best)
+        if best:
+            taken.append((genome, best[3], best[4]))
+    df = spark.createDataFrame(table, "genome_id string, cand_id string, strand string, s long, e long, right long, score double, uncovered long, gap_eligible boolean, eligible boolean, review_reason string")
+    got = orf.accept_short_orfs(df, spark.createDataFrame(genes, "genome_id string, model_id string, s long, e long, strand string")).collect()
+    assert {r.cand_id: (r.uncovered, r.gap_eligible, r.accepted) for r in got} == want
+    assert all((r.review_reason == "SHORT_ORF_RESCUED_REVIEW") == r.accepted for r in got)
+
+
 def test_repair_is_idempotent(spark):
     contigs = spark.createDataFrame(random_contigs(4, 900), "genome_id string, seq string")
     rng = random.Random(4)

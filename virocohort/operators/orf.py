@@ -79,7 +79,11 @@ def contig_lengths(contigs: DataFrame) -> DataFrame:
 
 
 def caller_anchors(primary: DataFrame, secondary: DataFrame) -> DataFrame:
-    """Primary models that the second caller repeats exactly."""
+    """Primary models that the second caller repeats exactly; partial ones and those already moved (columns ``partial`` and
+    ``edited``, where there are any) are no anchors."""
+    for flag in ("partial", "edited"):
+        if flag in primary.columns:
+            primary = primary.where(~F.coalesce(F.col(flag), F.lit(False)))
     return primary.join(secondary.select("genome_id", "s", "e", "strand").distinct(), ["genome_id", "s", "e", "strand"], "left_semi")
 
 
@@ -367,15 +371,25 @@ def rescue_candidates(contigs: DataFrame, genes: DataFrame, rna: DataFrame | Non
                        "uncovered", "gap_eligible", "rna_overlap", eligible.alias("eligible"), reason.alias("review_reason"))
 
 
-def accept_short_orfs(candidates: DataFrame) -> DataFrame:
+def accept_short_orfs(candidates: DataFrame, genes: DataFrame | None = None) -> DataFrame:
     """OR09 (greedy part): walk stops in order, plus strand first; an accepted ORF takes its space.
 
     Only eligible rows are walked.  They are first cut into clusters of overlapping candidates, which
-    cannot influence one another, so a walk sees a few rows whatever the genome.
+    cannot influence one another, so a walk sees a few rows whatever the genome.  Bases that ``genes`` cover already are
+    not lost twice.  What is told of every candidate (free bases, gap, reason) holds at its turn, after the ORFs
+    accepted before it.
     """
     candidates = cut_lineage(candidates)  # read several times below
     eligible = candidates.where("eligible").select("genome_id", "cand_id", "strand", "s", "e", "right", "score", "uncovered")
-    clusters = interval_clusters(eligible, ["genome_id"])
+    known = candidates.select("genome_id", F.col("s").alias("gs"), F.col("e").alias("ge")).where("false") if genes is None else genes.select("genome_id", F.col("s").alias("gs"), F.col("e").alias("ge"))
+    key = ["genome_id", "cand_id"]
+
+    def pieces(rows: DataFrame, others: DataFrame) -> DataFrame:
+        hit = iv.overlap_join(rows.select(*key, "s", "e"), others, ["genome_id"], ("s", "e"), ("gs", "ge"))
+        return hit.select(*key, F.greatest("s", "gs").alias("cs"), F.least("e", "ge").alias("ce"))
+
+    cover = pieces(eligible, known).groupBy(*key).agg(F.collect_set(F.struct("cs", "ce")).alias("cover"))
+    clusters = interval_clusters(eligible.join(cover, key, "left"), ["genome_id"])
 
     def walk(rows: list) -> list[tuple]:
         taken: list[tuple[int, int]] = []
@@ -385,16 +399,34 @@ def accept_short_orfs(candidates: DataFrame) -> DataFrame:
                 continue
             shared = [(s, e, min(row.e, e) - max(row.s, s) + 1) for s, e in taken if min(row.e, e) >= max(row.s, s)]
             nested = any((row.s <= s and row.e >= e) or (s <= row.s and e >= row.e) for s, e, _ in shared)
-            if all(n <= 4 for *_, n in shared) and not nested and row.uncovered - sum(n for *_, n in shared) >= MIN_UNCOVERED_NT:
+            lost = {x for s, e, _ in shared for x in range(max(s, row.s), min(e, row.e) + 1)}
+            for c in row.cover if row.cover is not None else ():
+                lost.difference_update(range(c["cs"], c["ce"] + 1))
+            if all(n <= 4 for *_, n in shared) and not nested and row.uncovered - len(lost) >= MIN_UNCOVERED_NT:
                 taken.append((row.s, row.e))
                 served.add((row.strand, row.right))
                 keep.append((row.genome_id, row.cand_id))
         return keep
 
-    accepted = walk_groups(clusters, ["genome_id", "cluster"], ["s"], walk, "genome_id string, cand_id string")
-    return candidates.join(accepted.withColumn("accepted", F.lit(True)), ["genome_id", "cand_id"], "left").withColumn(
-        "accepted", F.coalesce("accepted", F.lit(False))).withColumn(
-        "review_reason", F.when(F.col("accepted"), "SHORT_ORF_RESCUED_REVIEW").otherwise(F.col("review_reason")))
+    accepted = cut_lineage(walk_groups(clusters, ["genome_id", "cluster"], ["s"], walk, "genome_id string, cand_id string"))
+    place = ["genome_id", "cand_id", "s", "e", "strand", "right"]
+    there = candidates.join(accepted, key, "left_semi").select("genome_id", F.struct("strand", "right").alias("turn"), F.col("s").alias("gs"), F.col("e").alias("ge"))
+    before = iv.overlap_join(candidates.select(*place), there, ["genome_id"], ("s", "e"), ("gs", "ge")).where(F.col("turn") < F.struct("strand", "right"))
+    before = cut_lineage(before.select(*key, "s", "e", "gs", "ge", "overlap"))
+    blocked = before.where("overlap > 4 or (s <= gs and e >= ge) or (gs <= s and ge >= e)").select(*key, F.lit(True).alias("__blocked")).distinct()
+    taken = before.select(*key, F.greatest("s", "gs").alias("cs"), F.least("e", "ge").alias("ce"))
+    old = pieces(candidates.join(before.select(*key).distinct(), key, "left_semi"), known)
+    lost = iv.covered_length(taken.unionByName(old), key, "cs", "ce").withColumnRenamed("covered", "__all").join(
+        iv.covered_length(old, key, "cs", "ce").withColumnRenamed("covered", "__old"), key, "left")
+    out = candidates.join(accepted.withColumn("accepted", F.lit(True)), key, "left").join(blocked, key, "left").join(lost, key, "left")
+    out = out.withColumn("accepted", F.coalesce("accepted", F.lit(False))).withColumn(
+        "uncovered", F.col("uncovered") - F.coalesce("__all", F.lit(0)) + F.coalesce("__old", F.lit(0)))
+    reason = F.when(F.col("accepted"), "SHORT_ORF_RESCUED_REVIEW")
+    if "gap_eligible" in candidates.columns:
+        out = out.withColumn("gap_eligible", F.col("gap_eligible") & F.col("__blocked").isNull())
+    if "rna_overlap" in candidates.columns:
+        reason = reason.when(F.col("rna_overlap"), F.col("review_reason"))
+    return out.withColumn("review_reason", reason.when(F.col("__blocked"), "SHORT_ORF_OVERLAPS_EXISTING_CDS_REVIEW").otherwise(F.col("review_reason"))).drop("__blocked", "__all", "__old")
 
 
 def interval_clusters(df: DataFrame, keys: list[str]) -> DataFrame:

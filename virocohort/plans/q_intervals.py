@@ -178,18 +178,18 @@ def iv14(spark, sf):
                                ["genome_id"], "model_id", ("s", "e"), ("os", "oe")).select("genome_id", "model_id", "uncovered")
 
 
-# rows of large discount play the regulatory features
-FEATURES = "select genome_id, model_id feature_id, s, s + 19 e from {models} where strand = '-' and provider = 'prodigal_gv'"
+# the second caller's models stand for regulatory features, of either strand
+FEATURES = "select genome_id, model_id feature_id, s, s + 19 e from {models} where provider = 'prodigal_gv'"
 
 
 @query("iv15_feature_cds_overlap", "sparse_models", f"""
-with f as ({FEATURES.format(models='sparse_models')}), c as (select * from sparse_models where provider = 'phanotate' and strand = '+')
+with f as ({FEATURES.format(models='sparse_models')}), c as (select * from sparse_models where provider = 'phanotate')
 select f.genome_id, feature_id, count(c.model_id) = 0 accepted, case when count(c.model_id) > 0 then 'REGULATORY_FEATURE_OVERLAPS_CDS' end reason
 from f left join c on f.genome_id = c.genome_id and f.s <= c.e and f.e >= c.s group by 1, 2""")
 def iv15(spark, sf):
     m = load(spark, sf, "sparse_models")
     features = spark.sql(FEATURES, models=m)
-    return sc.split_regulatory(features, m.where("provider = 'phanotate' and strand = '+'")).select("genome_id", "feature_id", "accepted", "reason")
+    return sc.split_regulatory(features, m.where("provider = 'phanotate'")).select("genome_id", "feature_id", "accepted", "reason")
 
 
 @query("iv16_best_hsp_per_base", "hsps", """

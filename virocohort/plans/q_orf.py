@@ -158,8 +158,9 @@ def long_genes(spark, sf):
 
 @query("or09_short_orf_rescue")
 def or09(spark, sf):
-    rows = orf.rescue_candidates(load(spark, sf, "contigs"), long_genes(spark, sf))
-    return orf.accept_short_orfs(rows).select(
+    genes = long_genes(spark, sf)
+    rows = orf.rescue_candidates(load(spark, sf, "contigs"), genes)
+    return orf.accept_short_orfs(rows, genes).select(
         "genome_id", "cand_id", "strand", "s", "e", "score", "uncovered", "gap_eligible", "eligible", "accepted", "review_reason")
 
 
