@@ -28,17 +28,18 @@ def fm02(spark, sf):
     return fm.similarity_families(docs, min_identity=0.5).select("member_id", "genome_id", "component")
 
 
-CLUSTERS = "select concat('R', cast(l_partkey % 50 + 1000 * l_suppkey as varchar(20))) representative, concat('M', cast(l_orderkey as varchar(20)), '_', cast(l_suppkey as varchar(20))) member from {lineitem} where l_returnflag = 'R'"
+CLUSTERS = "select concat('R', cast(l_partkey % 50 + 1000 * l_suppkey as varchar(20))) representative, concat('M', cast(l_orderkey as varchar(20)), '_', cast(l_suppkey as varchar(20))) member from {lineitem}"
+
+
+REACH = 30  # more hops than any component of the tables is wide
+HOPS = ", ".join(f"l{i} as (select e.u node, min(least(a.l, b.l)) l from e join l{i - 1} a on a.node = e.v join l{i - 1} b on b.node = e.u group by 1)" for i in range(1, REACH + 1))
 
 
 @query("fm03_imported_components", "", f"""
 with c as (select distinct * from ({CLUSTERS.format(lineitem='lineitem')})), e as (select representative u, member v from c union select member, representative from c),
- l0 as (select u node, min(least(u, v)) l from e group by 1), l1 as (select e.u node, min(l) l from e join l0 on l0.node = e.v group by 1), l2 as (select e.u node, min(least(a.l, b.l)) l from e join l1 a on a.node = e.v join l1 b on b.node = e.u group by 1),
- l3 as (select e.u node, min(least(a.l, b.l)) l from e join l2 a on a.node = e.v join l2 b on b.node = e.u group by 1), l4 as (select e.u node, min(least(a.l, b.l)) l from e join l3 a on a.node = e.v join l3 b on b.node = e.u group by 1),
- l5 as (select e.u node, min(least(a.l, b.l)) l from e join l4 a on a.node = e.v join l4 b on b.node = e.u group by 1), l6 as (select e.u node, min(least(a.l, b.l)) l from e join l5 a on a.node = e.v join l5 b on b.node = e.u group by 1),
- l7 as (select e.u node, min(least(a.l, b.l)) l from e join l6 a on a.node = e.v join l6 b on b.node = e.u group by 1), l8 as (select e.u node, min(least(a.l, b.l)) l from e join l7 a on a.node = e.v join l7 b on b.node = e.u group by 1),
- l9 as (select e.u node, min(least(a.l, b.l)) l from e join l8 a on a.node = e.v join l8 b on b.node = e.u group by 1), l10 as (select e.u node, min(least(a.l, b.l)) l from e join l9 a on a.node = e.v join l9 b on b.node = e.u group by 1)
-select node member_id, l component from l10""")
+ l0 as (select u node, min(least(u, v)) l from e group by 1),
+ {HOPS}
+select node member_id, l component from l{REACH}""")
 def fm03(spark, sf):
     return fm.imported_families(spark.sql(CLUSTERS, lineitem=load(spark, sf, "lineitem")).distinct()).select("member_id", "component")
 
