@@ -39,11 +39,10 @@ def identifier_only(product: Column) -> Column:
 def normalise_function(description: Column) -> Column:
     """TX01: comparable lower-case function text, null when nothing is known."""
     text = F.lower(squeeze(description))
-    for pattern in (r"^refseq\s+", r"^sp\|[^|]+\|", r"^[a-z0-9]+_[a-z0-9]+\s+", r"\s*\{eco:[^}]+\}\s*$"):
+    for pattern in rules.DATABASE_PREFIXES:
         text = F.regexp_replace(text, pattern, "")
     text = F.trim(text)
-    unknown = text.rlike(r"\b(?:hypothetical|uncharacterized|uncharacterised)\b") | text.rlike(
-        r"\b(?:duf\d+|upf\d+)\b|\b(?:domain|protein|family) of unknown function\b")
+    unknown = text.rlike(rules.UNCHARACTERIZED) | text.rlike(rules.UNKNOWN_FUNCTION)
     named = F.coalesce(literal_map(rules.CANONICAL)[text], text)
     return F.when(~unknown & ~identifier_only(text) & ~named.isin(*rules.UNKNOWN_LABELS), named)
 
@@ -88,12 +87,8 @@ def unresolved(label: Column) -> Column:
 
 def relation_text(product: Column) -> Column:
     """Label form used to compare two products."""
-    text = F.regexp_replace(F.lower(F.coalesce(product, F.lit(""))), r"\b(putative|probable|predicted)\b", "")
-    for pattern, plain in (
-        (r"\bhoc-like head decoration\b", "hoc-like head decoration protein"), (r"\bmajor head protein\b", "major capsid protein"),
-        (r"\bterminase protein\b", "terminase"), (r"\bfamily-a dna polymerase\b", "dna polymerase"),
-        (r"\bhelix-turn-helix transcriptional regulator\b", "transcriptional regulator"),
-    ):
+    text = F.regexp_replace(F.lower(F.coalesce(product, F.lit(""))), rules.HEDGES, "")
+    for pattern, plain in rules.COMPARED_AS:
         text = F.regexp_replace(text, pattern, plain)
     return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
 

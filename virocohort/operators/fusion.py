@@ -243,13 +243,7 @@ def protein_facts(gathered: DataFrame) -> DataFrame:
 
 def diagnostic_reason(product: Column) -> Column:
     """FU07: the reviewed rule behind a diagnostic product."""
-    return literal_map({
-        "family-a dna polymerase": "diagnostic DNA polymerase family A domain",
-        "single-stranded dna-binding protein": "diagnostic phage ssDNA-binding domain",
-        "holliday junction resolvase": "VRR-Nuc domain corroborated by PHROGs resolvase orthology",
-        "excisionase and transcriptional regulator": "HTH domains and integration/excision category corroborate PHROGs orthology",
-        "helix-turn-helix transcriptional regulator": "HTH domains corroborate a broad transcriptional-regulator assignment",
-    })[product]
+    return literal_map(rules.DIAGNOSTIC_REASONS)[product]
 
 
 def domain_note() -> Column:

@@ -17,6 +17,7 @@ from virocohort.rules import genetics as g
 ERRORS = ("coordinate_out_of_range", "invalid_strand", "cds_sequence_mismatch", "cds_length_not_multiple_of_three", "translation_mismatch", "internal_stop_codon")
 INFOS = ("boundary_adjacent_cds", "shared_cds_boundary")
 REQUIRED_METADATA = ("organism", "host", "isolation_source", "authors", "submitter_name", "submitter_email")
+# topics of the submission questionnaire (fixed values)
 QUESTIONS = (
     "Sequencing and coverage", "Genome completeness and physical termini", "Ambiguous bases and potential frameshifts", "Co-linearity and assembly artefacts",
     "Structural annotation and small ORFs", "CDS start-site curation", "Functional evidence", "Lysogeny, toxins and AMR screening", "Regulatory elements and noncoding RNA",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_private: str | None = None  # scratch folder of a local session without a named one
+_private: str | None = None  # scratch folder of a local session without a named one (tests); gone with the process
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -30,16 +32,20 @@ def build_session(app: str = "virocohort", master: str | None = None, **conf: st
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a private one only for local masters."""
+    """The shared folder named by the cluster; a private one only for local masters, one per process."""
+    global _private
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir()
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if _private is None:
+        _private = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, _private, ignore_errors=True)
+    return _private
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -48,11 +54,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     A lost executor then rereads files instead of replaying earlier rounds, and the planner sees the
     real size of what it joins next.
     """
-    global _private
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _private
-    if folder is None:
-        folder = _private = checkpoint_folder(spark)
+    folder = checkpoint_folder(spark)
     path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
