@@ -26,6 +26,7 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
 BARE = b"\xff"  # in no UTF-8 text
 WHOLE = BARE * 2  # a text that is encoded as it stands
 SPACED = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+ODD_SIGNS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")  # quick to look for
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")  # unchanged by NFC, one word in both patterns
 LINE_END = re.compile(rb"[^ \t-\r]+\n[^ \t-\r]+")
 ODD_BLANKS = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -49,11 +50,13 @@ class Units(dict):
         self.encode, self.unit_bytes = encode, unit_bytes
 
     def __missing__(self, unit: bytes) -> bytes:
-        if unit[:2] == WHOLE:
+        if unit.isalpha():  # ASCII letters
+            ids = self.encode(unit)
+        elif unit[:2] == WHOLE:
             return self.encode(unit)
-        if len(unit) > 2 and unit[-1] in b".,;:!?" and unit[-2:-1].isalpha():
+        elif len(unit) > 2 and unit[-1] in b".,;:!?" and unit[-2:-1].isalpha():
             ids = self[unit[:-1]] + self[BARE + unit[-1:]]
-        elif LINE_END.fullmatch(unit):
+        elif b"\n" in unit and LINE_END.fullmatch(unit):
             left, _, right = unit.partition(b"\n")
             ids = self[left] + self[BARE + b"\n"] + self[BARE + right]
         else:
@@ -82,21 +85,27 @@ class Encoder:
         ids = self.library.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
         return array("I", ids).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """A word of the byte-level alphabet, by the library's model alone."""
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
     def _unit(self, unit: bytes) -> bytes:
+        if unit.isalpha() and self.split:
+            word = unit.decode()
+            return self._word(word if self.split == "words" else ALPHABET[32] + word)
         if unit[:2] == WHOLE:
             return self.whole(unit[2:])
         spaced = self.split == "spaced" and unit[:1] != BARE
         raw = unit[1:] if unit[:1] == BARE else unit
-        word = raw.decode("utf-8", "replace")
-        if self.split and LETTERS.fullmatch(word):  # normalised and cut already: the library's model alone
-            word = word.lower() if self.split == "words" else " " + word if spaced else word
-            tokens = self.model.tokenize(word if word.isascii() and not spaced else word.encode().decode("latin-1").translate(ALPHABET))
-            return array("I", [t.id for t in tokens]).tobytes()
+        text = raw.decode("utf-8", "replace")
+        if self.split and LETTERS.fullmatch(text):  # normalised and cut already
+            text = text.lower() if self.split == "words" else " " + text if spaced else text
+            return self._word(text.encode().decode("latin-1").translate(ALPHABET))
         return self.whole(b" " + raw if spaced else raw)
 
     def units(self, text: bytes) -> list[bytes]:
         """Keys of the cache: in ``spaced`` a key has a space before it unless it begins with BARE."""
-        if self.split is None or any(s in text for s in self.specials) or self.split == "spaced" and ODD_BLANKS.search(text):
+        if self.split is None or any(s in text for s in self.specials) or self.split == "spaced" and any(s in text for s in ODD_SIGNS) and ODD_BLANKS.search(text):
             return [WHOLE + text]
         if self.split == "words":
             return text.lower().split()
