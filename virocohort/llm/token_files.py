@@ -33,10 +33,11 @@ INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "<i8"), ("offset", "<i8"), ("len
 MANIFEST = "shard long, file string, documents long, tokens long, bytes long, first_id long, last_id long"
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, split: str | None, width: int, sample_rows: int, sample_bytes: int, dictionary_bytes: int) -> bytes:
-    """A dictionary of the serialised ids of at most ``sample_rows`` whole documents of at most ``sample_bytes`` each,
-    those with the smallest hashes of their ids; empty where they are too few to train one."""
-    few = docs.where(F.octet_length("text").between(1, sample_bytes)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_rows)
+def train_dictionary(docs: DataFrame, rows: int, tokenizer: str, split: str | None, width: int, sample_rows: int, sample_bytes: int, dictionary_bytes: int) -> bytes:
+    """A dictionary of the serialised ids of at most ``sample_rows`` whole documents of at most ``sample_bytes`` each, chosen
+    by a hash of their ids; empty where they are too few to train one."""
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // sample_rows))) == 0
+    few = docs.where(chosen & F.octet_length("text").between(1, sample_bytes)).limit(sample_rows)
     encode = encoder(tokenizer, split)
     samples = [np.frombuffer(encode(r[0].encode()), "<u4").astype(f"<u{width}").tobytes() for r in few.select("text").collect()]
     try:
@@ -46,7 +47,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, split: str | None, width:
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, split: str | None, end_id: int, vocabulary_size: int,
-              id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 128 << 20, level: int = 3,
+              id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 64 << 20, level: int = 3,
               sample_rows: int = 1000, sample_bytes: int = 8192, dictionary_bytes: int = 65536) -> DataFrame:
     """Write all documents' ids, each followed by the end id, in ascending order of their ids; the manifest.
 
@@ -56,10 +57,11 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, split: str | None, e
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     width = 2 if vocabulary_size <= 1 << 16 else 4
-    dictionary = train_dictionary(docs, tokenizer, split, width, sample_rows, sample_bytes, dictionary_bytes)
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    dictionary = train_dictionary(docs, rows, tokenizer, split, width, sample_rows, sample_bytes, dictionary_bytes)
     digest = hashlib.sha256(dictionary).digest()
     put_file(f"{folder}/{digest.hex()}.zdict", [dictionary])
-    shards = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
+    shards = max(1, -(-(size or 0) // shard_bytes))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10_000)).first()[0] if shards > 1 else None
     cuts = np.unique(np.array(cuts or [], np.int64))
 
