@@ -150,7 +150,7 @@ def host_counts(rows: DataFrame, n: int) -> DataFrame:
 
 def identify(rows: DataFrame, model: np.ndarray, languages: Sequence[str], temper: float = 0.2, strength: float = 4.0,
              unknown: float = 1e-3, least: float = 0.5, fewest: int = 3) -> DataFrame:
-    """Rows have id, text, declared, host (and may have more columns).  The result has all but text, and language (``und`` where rejected),
+    """Rows have id, text, declared, host (and may have more columns, but none of score, grams, shown, own, said, weight, top, best).  The result has all but text, and language (``und`` where rejected),
     posterior, accepted, text_language.
 
     Null or empty texts, and those without letters, are rejected; a null host has the prior of all rows, a null declaration
