@@ -8,7 +8,7 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from virocohort.session import checkpoint_folder, cut_lineage
+from virocohort.session import checkpoint_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,9 +29,14 @@ def fresh(df: DataFrame, wanted: str) -> str:
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
-    """The table written with a number for each row, so that repeated rows stay apart, and the number's name."""
+    """The table written with a number for each row, so that repeated rows stay apart, and the number's name.
+
+    It holds whole texts, so it is written more densely than by default.
+    """
     row = fresh(df, "row_no")
-    return cut_lineage(df.withColumn(row, F.monotonically_increasing_id())), row
+    path, numbered_rows = shared_path(df.sparkSession, "rows"), df.withColumn(row, F.monotonically_increasing_id())
+    numbered_rows.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(numbered_rows.schema).parquet(path), row
 
 
 def file_system(uri: str):
