@@ -70,3 +70,29 @@ def test_walk_is_by_summed_distance():
     assert multi_index.walk(a, b, counts, int(counts.sum())) == order
     part = multi_index.walk(a, b, counts, 10)
     assert part == order[:len(part)] and counts[part].sum() >= 10 > counts[part[:-1]].sum()
+
+
+def test_copies_take_no_places(spark):
+    """Rows of one id and vector, ids with several vectors, and a block's places, with the default share."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(60, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 5 + [(8, (x[0] + 0.01 * k).tolist()) for k in range(1, 7)]
+    want = {}
+    for i in (0, 50):
+        best = {}
+        for j, v in rows:
+            if j != i:
+                best[j] = max(best.get(j, -2), float(np.dot(x[i], v) / np.linalg.norm(x[i]) / np.linalg.norm(v)))
+        want[i] = sorted(best, key=lambda j: (-best[j], j))[:5]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = answers(multi_index.search(df, F.col("id") % 50 == 0, k=1))
+    assert {q: [i for i, _ in v] for q, v in got.items()} == want
+    many = spark.createDataFrame([(0, x[7].tolist()), *[(7, x[7].tolist())] * 40, *[(10 + i, x[i].tolist()) for i in range(5)]], "vec_id long, embedding array<double>")
+    assert len(answers(multi_index.search(many, F.col("id") == 0))[0]) == 5
+
+
+def test_small_tables_give_all_candidates(spark):
+    r = np.random.default_rng(6)
+    for n in (3, 7):
+        df = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(n)], "vec_id long, embedding array<double>")
+        assert len(answers(multi_index.search(df, F.col("id") == 0))[0]) == min(5, n - 1)

@@ -41,10 +41,10 @@ def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column("v").flatten().to_numpy().astype("<f8").reshape(-1, width)
+            flat = batch.column("v").flatten().to_numpy().astype("<f8").reshape(-1, width) + 0.0  # no negative zeros
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in flat], pa.binary())], names=["id", "data"])
 
-    return cut_lineage(fine.where(F.size("v") == width).mapInArrow(pack, "id long, data binary"))
+    return cut_lineage(fine.where(F.size("v") == width).mapInArrow(pack, "id long, data binary").distinct())
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -98,17 +98,24 @@ def matrix(column) -> np.ndarray:
 
 
 def best_of(queries: np.ndarray, q_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, top: int):
-    """For each query its ``top`` entries of a block: cosines by one product, those near the best again one by one."""
+    """For each query its ``top`` ids of a block, each with its best vector: cosines by one product, those near the best
+    again one by one."""
     rough = unit(queries) @ unit(block).T
     rough[q_ids[:, None] == ids[None, :]] = -np.inf
-    k = min(top, len(ids))
-    least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] - 1e-9
+    by_id = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(ids[by_id]) != 0])
+    each = rough if len(starts) == len(ids) else np.maximum.reduceat(rough[:, by_id], starts, axis=1)
+    k = min(top, len(starts))
+    least = np.partition(each, len(starts) - k, axis=1)[:, len(starts) - k] - 1e-9
     sizes = np.sqrt((block * block).sum(1))
     for i in range(len(queries)):
         at = np.flatnonzero((rough[i] >= least[i]) & (rough[i] > -np.inf))
         q = queries[i]
         score = (block[at] * q).sum(1) / (sizes[at] * np.sqrt((q * q).sum()))
-        order = np.lexsort((ids[at], -score))[:top]
+        order = np.lexsort((ids[at], -score))
+        if len(starts) < len(ids):
+            order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])]
+        order = order[:top]
         yield int(q_ids[i]), ids[at][order], score[order]
 
 
@@ -119,16 +126,18 @@ def search(vectors: DataFrame, is_query, top: int = 5, id_col: str = "vec_id", v
     ``is_query`` is a condition on the column ``id``.  Vectors that don't take part are those that ``valid_vectors`` names; a
     repeated id with the same vector counts once, and rows with the query's id are never its neighbours.  Fewer candidates
     give fewer rows; an empty table an empty result.  ``sample_rows`` bounds the rows that centroids are fitted on (a hash
-    of the id chooses them).  ``share`` is the part of all vectors a query looks at: at 0.65 at least nine in ten true
+    of the id chooses them).  ``share`` is the part of all vectors a query looks at, or more where that could hold fewer
+    than ``top`` other ids: at 0.65 at least nine in ten true
     neighbours were found on vectors without any structure, the hardest case.
     """
     rows = valid_vectors(vectors, id_col, vector_col)
-    spark, n = rows.sparkSession, rows.count()
+    spark, (n, most) = rows.sparkSession, rows.groupBy("id").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.max("count")).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     few = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // sample_rows))) == 0).limit(2 * sample_rows).select("data").collect() or rows.limit(1).select("data").collect()
     sample = unit(np.frombuffer(b"".join(r[0] for r in few), "<f8").reshape(len(few), -1))
     half = (sample.shape[1] + 1) // 2
+    wanted = max(int(np.ceil(share * n)), (top + 1) * most)  # so many vectors have ``top`` ids besides the query's own
     left = fit_centroids(sample[:, :half], k)
     right = fit_centroids(sample[:, half:], k) if sample.shape[1] > 1 else np.zeros((1, 0))
 
@@ -159,7 +168,7 @@ def search(vectors: DataFrame, is_query, top: int = 5, id_col: str = "vec_id", v
                 x = unit(data)
                 a, b, by_cell = distances(x[:, :half], left), distances(x[:, half:], right), {}
                 for i in range(len(ids)):
-                    for cell in walk(a[i], b[i], counts, int(np.ceil(share * n))):
+                    for cell in walk(a[i], b[i], counts, wanted):
                         by_cell.setdefault(cell, []).append(i)
                 for cell, at in by_cell.items():
                     m, packed = int(blocks[cell]), (ids[at].tobytes(), data[at].tobytes())
@@ -188,7 +197,8 @@ def search(vectors: DataFrame, is_query, top: int = 5, id_col: str = "vec_id", v
                     held = np.frombuffer(b"".join(data), "<f8").reshape(len(ids), -1), np.frombuffer(b"".join(ids), "<i8")
                 q_ids = np.frombuffer(i, "<i8")
                 for q, v, s in best_of(np.frombuffer(x, "<f8").reshape(len(q_ids), -1), q_ids, *held, top):
-                    best[q] = sorted({*best.get(q, ()), *zip((-s).tolist(), v.tolist(), strict=True)})[:top]
+                    nearest = {v: s for s, v in sorted([*best.get(q, ()), *zip((-s).tolist(), v.tolist(), strict=True)], reverse=True)}
+                    best[q] = sorted((s, v) for v, s in nearest.items())[:top]
                 if len(best) > 50_000:
                     yield flush()
         if any(best.values()):
@@ -197,4 +207,4 @@ def search(vectors: DataFrame, is_query, top: int = 5, id_col: str = "vec_id", v
     both = index.mapInArrow(entries, ENTRY).unionByName(index.where(is_query).mapInArrow(visits, ENTRY))
     dealt = both.repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return dealt.mapInArrow(scan, FOUND).distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    return dealt.mapInArrow(scan, FOUND).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
