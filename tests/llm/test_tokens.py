@@ -58,6 +58,14 @@ def test_trie_on_words_with_many_equal_merges():
     assert [list(array("I", i)) for i in codec.encode([w.encode() for w in words])] == [ids_of(WORD, w) for w in words]
 
 
+def test_trie_takes_words_of_a_million_letters():
+    r = random.Random(9)
+    words = ["".join(r.choices("acgt", k=1_000_000)), "x" * 1_000_000]
+    codec, library = bpe.Codec(WORD), Tokenizer.from_file(WORD)
+    for word, ids in zip(words, codec.encode([w.encode() for w in words]), strict=True):
+        assert array("I", ids).tolist() == library.encode(word, add_special_tokens=False).ids
+
+
 def test_encode_and_decode_documents(odd_documents, odd_rows, no_documents):
     encoded = bpe.encode_documents(odd_documents, WORD)
     same([(r.doc_id, bytes(r.ids)) for r in encoded.collect()], [(i, np.array(ids_of(WORD, t), "<u4").tobytes()) for i, t in odd_rows])

@@ -87,7 +87,7 @@ class TrieBpe:
     def encode(self, words: list[str]) -> dict[str, bytes]:
         """The ids of distinct words, 32-bit little-endian."""
         inner, final, apart, code = self.inner, self.final, self.apart, {}
-        last, ids = [-1], [b""]  # of the prefixes on the current path, by length
+        last, back = [-1], [0]  # of the prefixes on the current path, by length: last token, where it begins
         before, found = "", {}
         for word in sorted(words):
             n, same = len(word), 0
@@ -96,7 +96,7 @@ class TrieBpe:
                     break
                 same += 1
             before = word
-            del last[min(same, n - 1) + 1:], ids[min(same, n - 1) + 1:]
+            del last[min(same, n - 1) + 1:], back[min(same, n - 1) + 1:]
             for at in range(len(last), n + 1):
                 tokens = final if at == n else inner
                 for k in range(at - 1, max(-1, at - self.longest - 1), -1):
@@ -113,10 +113,14 @@ class TrieBpe:
                 else:
                     raise ValueError(f"no token ends {word[:at]!r}: the vocabulary lacks a byte")
                 if at == n:
-                    found[word] = ids[k] + part
+                    parts = [part]
+                    while k:
+                        parts.append(code[last[k]])
+                        k = back[k]
+                    found[word] = b"".join(reversed(parts))
                 else:
                     last.append(t)
-                    ids.append(ids[k] + part)
+                    back.append(k)
         return found
 
 
