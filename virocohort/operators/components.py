@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from virocohort.session import cut_lineage
+from virocohort.session import cut_lineage, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,8 +38,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node")
     before = None
     signature = _signature(current)
     while signature != before:
-        before = signature
+        before, last = signature, current
         current = cut_lineage(_small_star(_large_star(current)))
+        release(last)
         signature = _signature(current)
     roots = current.select(F.col("u").alias(node), F.col("v").alias("component"))
     return nodes.join(roots, node, "left").withColumn("component", F.coalesce("component", F.col(node)))

@@ -58,4 +58,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder = checkpoint_folder(spark)
     path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Drop a table of ``cut_lineage`` that nothing reads any more.  Call it on the frame that function gave."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._scratch)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
