@@ -112,13 +112,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     default one is made.  ``run_rows`` is the aimed size of a merged run, ``fan`` the runs merged per round.
     """
     digests = cut_lineage(digest_rows(docs, id_col, text_col, row_col))
-    rounds = 1
-    while fan**rounds * run_rows < digests.count():
+    rounds, entries = 1, digests.count()
+    while fan**rounds * run_rows < entries:
         rounds += 1
     runs = local_runs(digests, fan**rounds)
     best = tree_merge(runs, fan, rounds).select(
         "digest", "bytes", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), F.col("copies").alias("group_size"))
-    per_run = runs.select("origin", "digest", "bytes").join(best, ["digest", "bytes"])
+    # an origin that is read in several splits has a run, and an entry of a digest, for each
+    per_run = runs.select("origin", "digest", "bytes").distinct().join(best, ["digest", "bytes"])
     return (digests.withColumn("origin", F.shiftright("row", 33)).join(per_run, ["origin", "digest", "bytes"])
             .select("row", F.col("id").alias("doc_id"), "keep_id", "group_size",
                     (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")))
