@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +43,59 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(numbered_rows.schema).parquet(path), row
 
 
+def keep_rows(rows: DataFrame, row: str, kept: DataFrame) -> DataFrame:
+    """The rows whose numbers (as ``numbered`` makes them, none null) are in the one column of ``kept``.
+
+    The rows themselves aren't dealt out: the numbers of a partition become a file of one bit a row in the shared folder,
+    and a task reads the files of the partitions that it meets.
+    """
+    folder = shared_path(rows.sparkSession, "marks")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def put() -> None:
+            places = np.concatenate(held)
+            bits = np.zeros(int(places[-1]) + 1, bool)
+            bits[places] = True
+            put_file(f"{folder}/{part}", [np.packbits(bits).tobytes()])
+
+        for batch in batches:
+            parts, places = batch.column("part").to_numpy(), batch.column("place").to_numpy()
+            cuts = [*np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]]), len(parts)] if len(parts) else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if parts[a] != part and held:
+                    put()
+                    held = []
+                part = int(parts[a])
+                held.append(places[a:b])
+        if held:
+            put()
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], names=["done"])
+
+    number = F.col(kept.columns[0])
+    places = kept.select(F.shiftright(number, 33).alias("part"), number.bitwiseAND((1 << 33) - 1).alias("place"))
+    places.repartition("part").sortWithinPartitions("part", "place").mapInArrow(mark, "done long").agg(F.count("*")).collect()
+
+    @F.pandas_udf("boolean")
+    def marked(numbers: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        part, bits = None, None
+        for n in numbers:
+            n = n.to_numpy()
+            out = np.zeros(len(n), bool)
+            for p in np.unique(n >> 33):
+                if p != part:
+                    part, data = p, read_file(f"{folder}/{p}")
+                    bits = np.unpackbits(np.frombuffer(data, np.uint8)).astype(bool)
+                at = np.flatnonzero(n >> 33 == p)
+                place = n[at] & ((1 << 33) - 1)
+                inside = place < len(bits)
+                out[at[inside]] = bits[place[inside]]
+            yield pd.Series(out)
+
+    return rows.where(marked(F.col(f"`{row}`")))
+
+
 def file_system(uri: str):
     """The file system of a path and the path within it, for tasks that write files of their own format."""
     from pyarrow import fs
@@ -48,6 +105,15 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def replace_file(system, part: str, path: str) -> None:
+    """Move a finished file into place, also where an earlier attempt of the task has left one."""
+    try:
+        system.move(part, path)
+    except OSError:  # a rename that doesn't replace
+        system.delete_file(path)
+        system.move(part, path)
+
+
 def put_file(uri: str, chunks) -> int:
     """Write a file under another name, then move it into place: a repeated task leaves one whole file."""
     system, path = file_system(uri)
@@ -57,10 +123,21 @@ def put_file(uri: str, chunks) -> int:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)
-    system.move(part, path)
+    replace_file(system, part, path)
     return size
 
 
+def read_file(uri: str) -> bytes:
+    """The whole file; nothing where there is none."""
+    from pyarrow import fs
+
+    system, path = file_system(uri)
+    if system.get_file_info(path).type != fs.FileType.File:
+        return b""
+    with system.open_input_file(path) as f:
+        return f.read()
+
+
 def get_range(uri: str, offset: int, length: int) -> bytes:
     system, path = file_system(uri)
     with system.open_input_file(path) as f:
