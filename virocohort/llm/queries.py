@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from virocohort.llm import bpe, exact_dedup, language_id, license_scan, multi_index, packing, simhash, token_files, url_filter, warc
+from virocohort.llm import bpe, collocations, exact_dedup, language_id, license_scan, line_quality, multi_index, packing, simhash, spelling, token_files, url_filter, warc
 from virocohort.llm.common import table
 
 QUERIES = {}
@@ -108,3 +108,48 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return multi_index.search(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+
+
+LOWERED = f"translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}')"
+
+
+@query(f"""
+with d as (select coalesce(lang, 'und') lang, {LOWERED} t from documents),
+p as (select lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) piece from d),
+w as (select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') ws from p),
+totals as (select lang, sum(len(ws))::bigint n from w group by lang),
+g as (select lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) phrase from w, (select unnest(range(1, 6)) m)),
+f as (select lang, m, phrase, count(*) a from g group by all having count(*) >= 100),
+c as (select lang, m, phrase, a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') part, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') rest
+      from (select *, unnest(range(1, m)) k from f where m > 1)),
+s as (select c.*, x.a l, y.a r, n, (1000::hugeint * c.a * n // (x.a::hugeint * y.a))::bigint score from c join f x on x.lang = c.lang and x.phrase = part join f y on y.lang = c.lang and y.phrase = rest join totals on totals.lang = c.lang),
+one as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+kept as (select * from one where not exists (select 1 from f where f.lang = one.lang and f.m > one.m and f.a = one.a and contains(' ' || f.phrase || ' ', ' ' || one.phrase || ' '))),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000""")
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+@query()
+def op12_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return line_quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query(f"""
+with recursive tab as (select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) tab),
+d as (select coalesce(doc_id::varchar, '') id, {LOWERED} t from documents),
+r as (select id, unnest(regexp_extract_all(t, '[a-z\u00c0-\u00ff]+')) run from d),
+u as (select id, run, count(*) c, hex(encode(id || ':' || run)) x from r where length(run) >= 6 group by all),
+h as (select run, c, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::bigint)),
+      lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]))) h from u, tab),
+v as (select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end word, sum(c)::bigint n from h group by 1 having length(word) >= 6 and sum(c) >= 5),
+e as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) cut from (select *, unnest(range(1, length(word) + 1)) i from v)),
+shorter as (select distinct e.word, e.n, v.word near, v.n near_n from e join v on v.word = e.cut),
+pairs as (select * from shorter union all select near, near_n, word, n from shorter union all select a.word, a.n, b.word, b.n from e a join e b on a.i = b.i and a.cut = b.cut and a.word <> b.word),
+best as (select word, n, near, near_n, count(*) over (partition by word) n_near from pairs qualify row_number() over (partition by word order by near_n desc, near) = 1),
+forms as (select v.word, v.n, coalesce(n_near, 0) n_near, case when near_n >= 5 * v.n then near end form, case when near_n >= 5 * v.n then near_n end form_n from v left join best using (word)),
+chain as (select word, word root, form ahead from forms union all select chain.word, forms.word, forms.form from chain join forms on forms.word = chain.ahead)
+select word, form, root, n, n_near, form_n from forms join (select word, root from chain where ahead is null) using (word)""")
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
