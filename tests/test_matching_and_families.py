@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from virocohort.operators import evaluation as mt
@@ -120,6 +121,61 @@ def test_similarity_families_join_near_copies_only(spark):
     assert len(got) == 5 and all(len(v) == 1 for v in got.values())
 
 
+def brute_families(texts, share=0.3, coverage=0.5, width=8):
+    sets = [{t[i:i + width] for i in range(max(1, len(t) - width + 1))} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if len(a & b) >= share * min(len(a), len(b)) and min(len(texts[i]), len(texts[j])) >= coverage * max(len(texts[i]), len(texts[j])):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(texts))]
+
+
+def family_texts():
+    """Families, chains that only some links hold together, a domain that most texts share, copies, short and repetitive texts."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ACDEFGHIKLMNPQRSTVWYé") for _ in range(n))
+    domain, out = word(60), ["", "AC", "AC", "ACDEFGH", "A" * 300, "A" * 160, "A" * 140 + word(20)]
+    for k in range(50):
+        text = word(rng.choice((40, 120, 300))) + (domain if k % 3 else "")
+        for _ in range(3):
+            out.append(text)
+            at = rng.randint(0, len(text) // 2)
+            text = text[at:] + word(rng.choice((5, 40, 90)))
+    base = word(200)
+    for _ in range(60):
+        at = rng.randint(0, 150)
+        out.append(base[:at] + word(12) + base[at + 12:])
+    return out
+
+
+@pytest.mark.parametrize(("crowd", "block"), [(2, 5), (64, 128)])
+def test_similarity_families_equal_brute_force(spark, crowd, block):
+    texts = family_texts()
+    df = spark.createDataFrame([(f"m{i:04d}", t) for i, t in enumerate(texts)], "member_id string, text string").repartition(5)
+    got = {r.member_id: r.component for r in fm.similarity_families(df, crowd=crowd, block=block, counters=1 << 12).collect()}
+    want = brute_families(texts)
+    least = {c: f"m{min(i for i, x in enumerate(want) if x == c):04d}" for c in set(want)}
+    assert got == {f"m{i:04d}": least[c] for i, c in enumerate(want)}
+
+
+def test_a_longer_text_does_not_hide_a_link(spark):
+    """S and S' belong together although a much longer text holds all of S."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n))
+    s = word(400)
+    rows = [("s", s), ("t", s[:200] + word(5) + s[205:]), ("u", s + word(5000)), ("v", None)]
+    got = {r.member_id: r.component for r in fm.similarity_families(spark.createDataFrame(rows, "member_id string, text string")).collect()}
+    assert got == {"s": "s", "t": "s", "u": "u", "v": "v"}
+
+
 def test_bootstrap_is_repeatable_and_brackets_the_mean(spark):
     d = spark.createDataFrame([(f"u{i}", i / 10) for i in range(9)], "unit string, diff double")
     a, b = mt.genome_bootstrap(d, 500).first(), mt.genome_bootstrap(d.repartition(3), 500).first()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from virocohort.functions.labels import unresolved
 from virocohort.operators.components import connected_components
 from virocohort.operators.ordering import ordinal, running_total, with_neighbours
+from virocohort.operators.set_similarity import linked_components
 from virocohort.rules.fusion import UNKNOWN_STATES
 from virocohort.session import cut_lineage
 
@@ -36,40 +37,17 @@ def exact_families(members: DataFrame) -> DataFrame:
     return numbered(fam, "sha").withColumn("family_id", pmf(F.col("number"))).drop("number")
 
 
-def shingles(text: Column, width: int = 8, chunk: int = 256) -> Column:
-    """Distinct hashed substrings of the whole text, cut from short overlapping pieces so that the work
-    stays linear in its length."""
-    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.length(text) - width) / chunk).cast("int")),
-                         lambda c: F.substring(text, c * chunk + 1, F.lit(chunk + width - 1)))
-    words = F.transform(pieces, lambda p: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(p) - (width - 1))), lambda i: F.xxhash64(F.substring(p, i, F.lit(width)))))
-    return F.array_distinct(F.flatten(words))
+def similarity_families(members: DataFrame, min_identity: float = 0.3, min_coverage: float = 0.5, width: int = 8, **limits) -> DataFrame:
+    """FM02/FM03: families of members (member_id, text, ...) whose texts are linked by similarity; no link is lost.
 
-
-def similarity_edges(members: DataFrame, min_identity: float = 0.3, min_coverage: float = 0.5, keys_per_member: int = 20, width: int = 8) -> DataFrame:
-    """FM02: links between similar sequences without comparing all members of a group.
-
-    Every member offers its smallest shingle hashes; members sharing one are linked only to the
-    longest of them, so a shingle held by n members yields n links, not n*n.  Links are kept after
-    comparing the full shingle sets: shared share of the smaller set for identity, length ratio for
-    coverage.  Columns: member_id, text.
+    Texts are linked when they share ``min_identity`` of the smaller set of substrings and the shorter one has
+    ``min_coverage`` of the longer one's letters.  Copies join their text's family; a null text counts as empty.
     """
-    sets = cut_lineage(members.select("member_id", F.length("text").alias("len"), shingles(F.col("text"), width).alias("sh")))
-    keys = sets.select("member_id", "len", F.explode(F.slice(F.array_sort("sh"), 1, keys_per_member)).alias("key"))
-    centre = keys.groupBy("key").agg(F.max(F.struct("len", "member_id")).alias("c")).select("key", F.col("c.member_id").alias("centre"))
-    pairs = keys.join(centre, "key").where("member_id <> centre").select("member_id", "centre").distinct()
-    a = sets.select("member_id", F.col("len").alias("la"), F.col("sh").alias("sa"))
-    b = sets.select(F.col("member_id").alias("centre"), F.col("len").alias("lb"), F.col("sh").alias("sb"))
-    both = pairs.join(a, "member_id").join(b, "centre").where(F.least("la", "lb") / F.greatest("la", "lb") >= min_coverage)
-    shared = F.size(F.array_intersect("sa", "sb")) / F.least(F.size("sa"), F.size("sb"))
-    return both.withColumn("similarity", shared).where(F.col("similarity") >= min_identity).select(F.col("member_id").alias("u"), F.col("centre").alias("v"), "similarity")
-
-
-def similarity_families(members: DataFrame, **limits) -> DataFrame:
-    """FM02/FM03: distinct texts clustered by similarity; copies join their text's family."""
-    texts = members.groupBy(F.md5("text").alias("sha")).agg(F.min("member_id").alias("member_id"), F.min("text").alias("text"))
-    families = connected_components(texts.select("member_id", "sha"), similarity_edges(texts, **limits), "member_id")
-    return members.withColumn("sha", F.md5("text")).join(families.select("sha", "component"), "sha").drop("text")
+    known = members.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("sha", F.md5("text"))
+    texts = cut_lineage(known.groupBy("sha").agg(F.min("member_id").alias("node"), F.min("text").alias("text")))
+    families, _ = linked_components(texts.select("node", "text"), min_identity, min_coverage, width, **limits)
+    labels = texts.select("sha", "node").join(families, "node").select("sha", "component")
+    return known.drop("text").join(labels, "sha")
 
 
 def imported_families(clusters: DataFrame) -> DataFrame:

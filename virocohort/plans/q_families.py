@@ -22,7 +22,18 @@ def fm01(spark, sf):
     return fm.exact_families(load(spark, sf, "members")).select("sha", "representative", "member_count", "genome_count", "family_id")
 
 
-@query("fm02_similarity_families")
+@query("fm02_similarity_families", "", """
+with d as (select 'D' || doc_id member_id, source genome_id, coalesce(text, '') t from documents),
+ x as (select t, min(member_id) node, length(t) len from d group by 1),
+ sh as (select distinct node, md5(substr(t, i::bigint, 8)) h from (select node, t, unnest(range(1, greatest(2, length(t) - 6))) i from x)),
+ sizes as (select node, count(*) n from sh group by 1),
+ pairs as (select a.node u, b.node v, count(*) shared from sh a join sh b on a.h = b.h and a.node < b.node group by 1, 2),
+ links as (select u, v from pairs join sizes p on p.node = u join sizes q on q.node = v join x a on a.node = u join x b on b.node = v
+           where shared >= 0.5 * least(p.n, q.n) and least(a.len, b.len) >= 0.5 * greatest(a.len, b.len)),
+ ends as (select u, v from links union all select v, u from links),
+ reach as (select node, node seen from x union select reach.node, v from reach join ends on u = seen),
+ labels as (select node, min(seen) component from reach group by 1)
+select member_id, genome_id, component from d join x using (t) join labels using (node)""")
 def fm02(spark, sf):
     docs = load(spark, sf, "documents").select(F.concat(F.lit("D"), F.col("doc_id")).alias("member_id"), F.col("source").alias("genome_id"), "text")
     return fm.similarity_families(docs, min_identity=0.5).select("member_id", "genome_id", "component")
