@@ -108,3 +108,38 @@ def test_spanin_pairs(spark):
     g = spark.createDataFrame(rows, "genome_id string, model_id string, s long, e long, strand string, name string, outer_support boolean")
     # a/b overlap in relative frame 1; c/d abut on the minus strand; e has two partners and stays open
     assert {(r.inner_id, r.outer_id) for r in sc.spanin_pairs(g).collect()} == {("a", "b"), ("c", "d")}
+
+
+def brute_bases(rows):
+    best = {}
+    for g, qs, qe, length, nident, score in rows:
+        if length > 0:
+            for x in range(qs, qe + 1):
+                best[g, x] = max(best.get((g, x), ()), (score, qs, qe, length, nident))
+    out = {}
+    for (g, _), (_, _, _, length, nident) in best.items():
+        a, n = out.get(g, (0.0, 0))
+        out[g] = (a + nident / length, n + 1)
+    return out
+
+
+def test_best_alignment_per_base_equals_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(400):
+        qs = rng.randint(0, 45_000)
+        size = rng.choice((1, 2, 3, 50, 64, 700, 3000))
+        rows.append((rng.choice("HHHab"), qs, qs + size - 1, rng.choice((0, size, size)), rng.randint(0, size), rng.choice((10.0, 20.0, 20.0, 30.0))))
+    df = spark.createDataFrame(rows, "g string, qs long, qe long, aln_len long, nident long, score double").repartition(4)
+    got = {r.g: (r.identical, r.aligned_bases) for r in iv.best_hsp_per_base(df, ["g"]).collect()}
+    want = brute_bases(rows)
+    assert got.keys() == want.keys()
+    assert all(got[g][1] == want[g][1] and abs(got[g][0] - want[g][0]) < 1e-6 for g in want)
+
+
+def test_one_long_alignment_makes_few_rows(spark):
+    """5,000,000 bases: tiles and segments, not a row a base."""
+    df = spark.createDataFrame([("a", 1, 5_000_000, 5_000_000, 4_000_000, 9.0), ("a", 1000, 1999, 1000, 1000, 10.0)], "g string, qs long, qe long, aln_len long, nident long, score double")
+    assert df.select(F.explode(iv.dyadic_blocks(F.col("qs"), F.col("qe")))).count() < 100
+    r = iv.best_hsp_per_base(df, ["g"]).first()
+    assert r.aligned_bases == 5_000_000 and abs(r.identical - (4_999_000 * 0.8 + 1000)) < 1e-6

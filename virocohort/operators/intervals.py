@@ -140,22 +140,56 @@ def uncovered_length(candidates: DataFrame, occupied: DataFrame, keys: Sequence[
     )
 
 
+def with_next(points: DataFrame, keys: Sequence[str], point: str, name: str, size: int = 20_000) -> DataFrame:
+    """The next greater point of the same keys (null after the last), without one task per key.
+
+    Neighbours within an axis bin come from the bin; the last of a bin looks at the first point of the next bin that has one.
+    """
+    bins = points.withColumn("__bin", F.floor(F.col(point) / size))
+    first = bins.groupBy(*keys, "__bin").agg(F.min(point).alias("__first"))
+    first = first.withColumn("__next", F.lead("__first").over(Window.partitionBy(*keys).orderBy("__bin"))).drop("__first")
+    inside = bins.withColumn(name, F.lead(point).over(Window.partitionBy(*keys, "__bin").orderBy(point)))
+    return inside.join(first, [*keys, "__bin"]).withColumn(name, F.coalesce(name, "__next")).drop("__bin", "__next")
+
+
+def dyadic_blocks(start: Column, end: Column) -> Column:
+    """Aligned blocks (level, block: positions block * 2^level and the next 2^level) that tile start..end: two a level at most."""
+    size = end - start + 1
+    power = lambda n: F.pow(F.lit(2.0), n).cast("bigint")
+
+    def at(level: Column) -> Column:
+        lo, hi = F.ceil(start / power(level)).cast("bigint"), F.floor((end + 1) / power(level)).cast("bigint")
+        block = lambda b: F.struct(level.cast("int").alias("level"), b.alias("block"))
+        return F.array(F.when((lo < hi) & (lo % 2 == 1), block(lo)), F.when((lo < hi) & (hi % 2 == 1), block(hi - 1)))
+
+    levels = F.sequence(F.lit(0), F.floor(F.log2(size.cast("double"))).cast("int") + 1)
+    return F.array_compact(F.flatten(F.transform(levels, at)))
+
+
 def best_hsp_per_base(hsps: DataFrame, keys: Sequence[str]) -> DataFrame:
     """IV16: every query base belongs to its best alignment; identity and coverage per key.
 
     Input columns: qs, qe (ordered), aln_len, nident, score.  Ties fall to the larger start, end,
-    length and identical count.  The choice is a ``max`` over a struct, so it combines map-side.
+    length and identical count.
+
+    The axis is cut at alignment borders, so a segment has one best alignment.  An alignment becomes the few aligned blocks that
+    tile it, a block keeps its best alignment, and a segment asks the blocks of each level that hold its first base:
+    rows grow with alignments and the logarithm of their length, whatever their length and depth.
     """
     rank = F.struct("score", F.col("qs").alias("rs"), F.col("qe").alias("re"), "aln_len", "nident")
-    bases = (
-        hsps.where(F.col("aln_len") > 0)
-        .withColumn("pos", F.explode(F.sequence("qs", "qe")))
-        .groupBy(*keys, "pos")
-        .agg(F.max(rank).alias("h"))
-    )
-    return bases.groupBy(*keys).agg(
-        F.sum(F.col("h.nident") / F.col("h.aln_len")).alias("identical"),
-        F.count("*").alias("aligned_bases"),
+    real = hsps.where(F.col("aln_len") > 0).select(*keys, "qs", "qe", rank.alias("h"))
+    tiles = real.withColumn("tile", F.explode(dyadic_blocks(F.col("qs"), F.col("qe"))))
+    best = tiles.groupBy(*keys, "tile.level", "tile.block").agg(F.max("h").alias("h"))
+    borders = real.select(*keys, F.explode(F.array(F.col("qs"), F.col("qe") + 1)).alias("at")).distinct()
+    segments = with_next(borders, keys, "at", "next").where("next is not null")
+    longest = real.groupBy(*keys).agg(F.max(F.col("qe") - F.col("qs") + 1).alias("longest"))
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.col("longest").cast("double"))).cast("int"))
+    asks = segments.join(longest, list(keys)).select(*keys, "at", (F.col("next") - F.col("at")).alias("bases"), F.explode(levels).alias("level"))
+    asks = asks.withColumn("block", F.floor(F.col("at") / F.pow(F.lit(2.0), "level")).cast("bigint"))
+    held = asks.join(best, [*keys, "level", "block"]).groupBy(*keys, "at").agg(F.max("h").alias("h"), F.first("bases").alias("bases"))
+    return held.groupBy(*keys).agg(
+        F.sum(F.col("bases") * (F.col("h.nident") / F.col("h.aln_len"))).alias("identical"),
+        F.sum("bases").alias("aligned_bases"),
     )
 
 
