@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -197,6 +198,16 @@ def test_exact_permutation_has_no_limit_of_units(spark):
     assert got.units == 40 and abs(got.estimate - sum(diffs) / 40) < 1e-9 and got.null_low < 0 < got.null_high
 
 
+def test_permutation_of_200_units(spark):
+    """More vectors than any integer type counts; the normal approximation is near by then."""
+    rng = random.Random(15)
+    diffs = [rng.randint(-9, 10) / 100 for _ in range(200)]
+    got = mt.sign_flip_test(spark.createDataFrame([(f"u{i}", d) for i, d in enumerate(diffs)], "unit string, diff double"), scale=100).first()
+    sd = math.sqrt(sum(d * d for d in diffs))
+    assert abs(got.p_value - math.erfc((abs(sum(diffs)) - 0.01) / sd / math.sqrt(2))) < 0.01
+    assert abs(got.null_high * 200 - 1.96 * sd) < 0.05 and abs(got.null_low + got.null_high) < 1e-4
+
+
 def test_null_keys_and_places_are_kept(spark):
     from virocohort.operators.ordering import ordinal
 

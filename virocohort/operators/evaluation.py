@@ -252,31 +252,33 @@ def utility(judgments: DataFrame, keys: Sequence[str]) -> DataFrame:
 def sign_flip_test(diffs: DataFrame, scale: int = 1_000_000_000) -> DataFrame:
     """MT15: exact paired permutation over all sign vectors (unit, diff).
 
-    The distribution of the signed sums is built up unit by unit as a table of (sum, how many vectors): each round joins
-    nothing and merges equal sums, so its size is that of distinct sums, not of 2^n vectors.  Differences are taken in steps of
-    1 / ``scale``.  The interval is that of the null distribution: the vectors at ranks ceil(0.025 n) and floor(0.975 n) + 1.
+    The distribution of the signed sums is built up unit by unit as a table of (sum, share of the vectors): each round joins
+    nothing and merges equal sums, so its size is that of distinct sums, at most the range of sums in steps of 1 / ``scale``, in
+    which differences are taken.  Real-valued differences of many units need a coarser ``scale``; a sum is then off by half a
+    step for each unit at most.  The interval is that of the null distribution: the vectors at ranks ceil(0.025 n) and
+    floor(0.975 n) + 1.
     """
     spark = diffs.sparkSession
     steps = [r[0] for r in diffs.select(F.round(F.col("diff") * scale).cast("long").alias("d")).collect()]  # one number per unit of the panel
     n, observed = len(steps), sum(steps)
-    dist = spark.range(1).select(F.lit(0).cast("long").alias("v"), F.lit(1).cast("decimal(38,0)").alias("n"))
+    dist = spark.range(1).select(F.lit(0).cast("long").alias("v"), F.lit(1.0).alias("n"))
     for k, d in enumerate(steps):
-        both = dist.select(F.explode(F.array(F.col("v") + d, F.col("v") - d)).alias("v"), "n")
-        dist = both.groupBy("v").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+        both = dist.select(F.explode(F.array(F.col("v") + d, F.col("v") - d)).alias("v"), (F.col("n") / 2).alias("n"))
+        dist = both.groupBy("v").agg(F.sum("n").alias("n"))
         if k % 6 == 5:
             dist = cut_lineage(dist)
     total = 1 << n
     before = ordering_total(dist)
     low, high = max(0, -(-total * 25 // 1000) - 1), min(total - 1, total * 975 // 1000)
-    at = lambda rank: F.min(F.when(F.col("upto") > F.lit(rank).cast("decimal(38,0)"), F.col("v"))) / (scale * max(n, 1))
-    extreme = F.sum(F.when(F.abs("v") >= abs(observed), F.col("n"))).cast("double") / F.lit(float(total))
+    at = lambda rank: F.min(F.when(F.col("upto") > F.lit(rank / total), F.col("v"))) / (scale * max(n, 1))
+    extreme = F.sum(F.when(F.abs("v") >= abs(observed), F.col("n")))
     return before.agg(F.lit(observed / scale / n if n else None).cast("double").alias("estimate"), F.lit(n).alias("units"), extreme.alias("p_value"), at(low).alias("null_low"), at(high).alias("null_high"))
 
 
 def ordering_total(dist: DataFrame) -> DataFrame:
-    """The distribution with ``upto``, the vectors up to each sum."""
+    """The distribution with ``upto``, the share of the vectors up to each sum."""
     span = dist.agg(F.max(F.abs("v"))).first()[0] or 0
-    return running_total(dist, [], "v", ["v"], F.col("n"), "upto", max(1, span // 64), "decimal(38,0)")
+    return running_total(dist, [], "v", ["v"], F.col("n"), "upto", max(1, span // 64), "double")
 
 
 def genome_bootstrap(diffs: DataFrame, iterations: int = 20_000, seed: int = 12020260918) -> DataFrame:
