@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,13 +42,9 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(numbered_rows.schema).parquet(path), row
 
 
-def keep_rows(rows: DataFrame, row: str, kept: DataFrame) -> DataFrame:
-    """The rows whose numbers (as ``numbered`` makes them, none null) are in the one column of ``kept``.
-
-    The rows themselves aren't dealt out: the numbers of a partition become a file of one bit a row in the shared folder,
-    and a task reads the files of the partitions that it meets.
-    """
-    folder = shared_path(rows.sparkSession, "marks")
+def marks_of(kept: DataFrame) -> str:
+    """A shared folder with the row numbers in the one column of ``kept``: for each partition a file of one bit a row."""
+    folder = shared_path(kept.sparkSession, "marks")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
@@ -77,21 +72,39 @@ def keep_rows(rows: DataFrame, row: str, kept: DataFrame) -> DataFrame:
     places = kept.select(F.shiftright(number, 33).alias("part"), number.bitwiseAND((1 << 33) - 1).alias("place"))
     places.repartition("part").sortWithinPartitions("part", "place").mapInArrow(mark, "done long").agg(F.count("*")).collect()
 
-    @F.pandas_udf("boolean")
-    def marked(numbers: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        part, bits = None, None
+    return folder
+
+
+class Marks:
+    """Tells which row numbers are marked in a folder of ``marks_of``; holds the marks of one partition."""
+
+    def __init__(self, folder: str):
+        self.folder, self.part, self.bits = folder, None, np.zeros(0, bool)
+
+    def __call__(self, numbers: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(numbers), bool)
+        for part in np.unique(numbers >> 33):
+            if part != self.part:
+                self.part, self.bits = part, np.unpackbits(np.frombuffer(read_file(f"{self.folder}/{part}"), np.uint8)).astype(bool)
+            at = np.flatnonzero(numbers >> 33 == part)
+            place = numbers[at] & ((1 << 33) - 1)
+            inside = place < len(self.bits)
+            out[at[inside]] = self.bits[place[inside]]
+        return out
+
+
+def keep_rows(rows: DataFrame, row: str, kept: DataFrame) -> DataFrame:
+    """The rows whose numbers (as ``numbered`` makes them, none null) are in the one column of ``kept``.
+
+    The rows themselves aren't dealt out: a task reads the marks of the partitions that it meets.
+    """
+    folder = marks_of(kept)
+
+    @F.arrow_udf("boolean")
+    def marked(numbers: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        marks = Marks(folder)
         for n in numbers:
-            n = n.to_numpy()
-            out = np.zeros(len(n), bool)
-            for p in np.unique(n >> 33):
-                if p != part:
-                    part, data = p, read_file(f"{folder}/{p}")
-                    bits = np.unpackbits(np.frombuffer(data, np.uint8)).astype(bool)
-                at = np.flatnonzero(n >> 33 == p)
-                place = n[at] & ((1 << 33) - 1)
-                inside = place < len(bits)
-                out[at[inside]] = bits[place[inside]]
-            yield pd.Series(out)
+            yield pa.array(marks(n.to_numpy(zero_copy_only=False)))
 
     return rows.where(marked(F.col(f"`{row}`")))
 
