@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from virocohort.session import cut_lineage
+from virocohort.session import cut_lineage, release
 
 
 def ordered_choice(edges: DataFrame) -> DataFrame:
@@ -69,6 +69,28 @@ def mutual_best(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, matched)
 
 
+def surviving_choice(options: DataFrame, threats: DataFrame) -> DataFrame:
+    """Items, in order, are taken while one of their options survives, and a taken item removes options of later ones.
+
+    ``options``: item, opt.  ``threats``: item, opt, earlier (an item before it whose being taken removes the option).
+    Result: the taken items.  Each round takes every item with an option that nothing undecided threatens any more, which
+    holds for the first undecided item of every chain; there are as many rounds as the longest chain of undecided threats.
+    """
+    options, threats = cut_lineage(options), cut_lineage(threats)
+    taken = [options.where("false").select("item")]
+    while not options.isEmpty():
+        safe = cut_lineage(options.join(threats, ["item", "opt"], "left_anti").select("item").distinct())
+        taken.append(safe)
+        lost = threats.join(safe.select(F.col("item").alias("earlier")), "earlier", "left_semi").select("item", "opt")
+        left = cut_lineage(options.join(safe, "item", "left_anti").join(lost, ["item", "opt"], "left_anti"))
+        undecided = left.select(F.col("item").alias("earlier")).distinct()
+        kept = cut_lineage(threats.join(left, ["item", "opt"], "left_semi").join(undecided, "earlier", "left_semi").select("item", "opt", "earlier"))
+        release(options)
+        release(threats)
+        options, threats = left, kept
+    return reduce(DataFrame.unionByName, taken)
+
+
 def walk_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], walk: Callable[[list], list[tuple]], schema: str) -> DataFrame:
     """Apply an order-dependent rule to each key's rows, streamed in sorted order.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from virocohort.functions import sequence as sq
 from virocohort.operators import intervals as iv
-from virocohort.operators.matching import walk_groups
+from virocohort.operators.matching import surviving_choice, walk_groups
 from virocohort.operators.ordering import ordinal, running_total
 from virocohort.rules import genetics as g
 from virocohort.session import cut_lineage
@@ -482,22 +482,47 @@ def overlap_prefilter(candidates: DataFrame, genes: DataFrame, spanins: DataFram
                        F.when(F.col("plus_one"), 0).otherwise(1).alias("policy_priority"), gate.alias("overlap_prefilter"))
 
 
-def promote_overlaps(prefiltered: DataFrame, families: DataFrame, outer_families: DataFrame, rz1: DataFrame, used_stops: DataFrame) -> DataFrame:
-    """OR12: promote at most one start per unused stop when family evidence is new to the locus.
+def promote_overlaps(prefiltered: DataFrame, families: DataFrame, outer_families: DataFrame, rz1: DataFrame, used_stops: DataFrame,
+                     rna: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:
+    """OR12: promote at most one start per unused stop when its evidence is new to the locus.
 
-    ``families`` (cand_id, source, identifier) supports candidates, ``outer_families`` the same keys
-    seen on the genes they overlap, ``rz1`` lists candidates with outer-spanin support.
+    ``families`` (cand_id, source, identifier) supports candidates, ``outer_families`` the same keys seen on the genes they
+    overlap, ``rz1`` lists candidates with outer-spanin support, ``rna`` (genome_id, s, e) features that no promoted ORF may
+    touch.  Candidates decide by policy, then score, then id; what is promoted is a gene to the later ones: an ORF that is no
+    upstream one in another frame excludes them, any other one takes away the Rz1 rule and the families it carries itself
+    (``evidence``: cand_id, source, identifier; ``families`` where it isn't given).  cand_id names one row of the table.
     """
-    fresh = families.join(outer_families, ["cand_id", "source", "identifier"], "left_anti").groupBy("cand_id").agg(F.count("*").alias("distinct_families"))
     rows = prefiltered.where("overlap_prefilter <> 'NO_INITIATION_OR_FAMILY_SUPPORT' and e - s + 1 >= 75")
-    rows = rows.join(fresh, "cand_id", "left").join(rz1.select("cand_id", F.lit(True).alias("rz1")).distinct(), "cand_id", "left")
-    code = (
-        F.when((F.col("outer_genes") == 1) & F.col("spanin_context") & (F.col("rbs_score") >= 8) & F.coalesce("rz1", F.lit(False)), "SHORT_ORF_RZ1_OVERLAP_PROMOTED")
-        .when(F.col("distinct_families") > 0, "SHORT_ORF_DISTINCT_FAMILY_OVERLAP_PROMOTED")
-    )
-    rows = rows.withColumn("code", code).where("code is not null").join(used_stops, ["genome_id", "strand", "stop"], "left_anti")
-    first = F.min_by(F.struct("cand_id", "s", "e", "code"), F.struct("policy_priority", -F.col("score"), F.col("cand_id")))
-    return rows.groupBy("genome_id", "strand", "stop").agg(first.alias("p")).select("genome_id", "strand", "stop", "p.*")
+    rows = rows.join(used_stops, ["genome_id", "strand", "stop"], "left_anti")
+    if rna is not None:
+        masked = iv.overlap_join(rows.select("genome_id", "cand_id", "s", "e"), rna.select("genome_id", F.col("s").alias("rs"), F.col("e").alias("re")),
+                                 ["genome_id"], ("s", "e"), ("rs", "re"))
+        rows = rows.join(masked, "cand_id", "left_anti")
+    rows = cut_lineage(rows)
+    key = lambda kind, source, identifier: F.struct(F.lit(kind).alias("rule"), source.alias("source"), identifier.alias("identifier")).alias("opt")
+    spanin = rows.where("outer_genes = 1 and spanin_context and rbs_score >= 8").join(rz1, "cand_id", "left_semi")
+    fresh = families.join(outer_families, ["cand_id", "source", "identifier"], "left_anti").join(rows, "cand_id", "left_semi")
+    options = cut_lineage(spanin.select(F.col("cand_id").alias("item"), key("RZ1", F.lit(""), F.lit(""))).unionByName(
+        fresh.select(F.col("cand_id").alias("item"), key("FAMILY", F.col("source"), F.col("identifier"))).distinct()))
+
+    viable = rows.join(options.select(F.col("item").alias("cand_id")), "cand_id", "left_semi").select(
+        "genome_id", "cand_id", "strand", "s", "e", F.struct("policy_priority", (-F.col("score")).alias("low"), "cand_id").alias("turn"))
+    pairs = iv.overlap_join(iv.suffixed(viable, "_a", ["genome_id"]), iv.suffixed(viable, "_b", ["genome_id"]),
+                            ["genome_id"], ("s_a", "e_a"), ("s_b", "e_b")).where("turn_b < turn_a")
+    delta = F.when(F.col("strand_b") == "+", F.col("s_a") - F.col("s_b")).otherwise(F.col("e_b") - F.col("e_a"))
+    pairs = pairs.select(F.col("cand_id_a").alias("item"), F.col("cand_id_b").alias("earlier"),
+                         ((F.col("strand_a") == F.col("strand_b")) & (delta > 0) & (delta % 3 != 0)).alias("related"))
+    carried = (evidence if evidence is not None else families).select(
+        F.col("cand_id").alias("earlier"), key("FAMILY", F.col("source"), F.col("identifier")), F.lit(True).alias("carried")).distinct()
+    threats = cut_lineage(pairs.join(options, "item").join(carried, ["earlier", "opt"], "left")
+                          .where((~F.col("related")) | (F.col("opt.rule") == "RZ1") | F.col("carried")).select("item", "opt", "earlier"))
+
+    taken = surviving_choice(options, threats)
+    lost = threats.join(taken.select(F.col("item").alias("earlier")), "earlier", "left_semi").select("item", "opt")
+    rule = options.join(taken, "item", "left_semi").join(lost, ["item", "opt"], "left_anti").groupBy(F.col("item").alias("cand_id")).agg(
+        F.bool_or(F.col("opt.rule") == "RZ1").alias("spanin"))
+    code = F.when(F.col("spanin"), "SHORT_ORF_RZ1_OVERLAP_PROMOTED").otherwise("SHORT_ORF_DISTINCT_FAMILY_OVERLAP_PROMOTED")
+    return rows.join(rule, "cand_id").select("genome_id", "strand", "stop", "cand_id", "s", "e", code.alias("code"))
 
 
 def repair_boundaries(models: DataFrame, contigs: DataFrame) -> DataFrame:
