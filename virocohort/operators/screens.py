@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,37 +29,59 @@ def split_regulatory(features: DataFrame, cds: DataFrame) -> DataFrame:
                       F.when(F.col("__h"), "REGULATORY_FEATURE_OVERLAPS_CDS").alias("reason"))
 
 
-def aligned_positions(hsps: DataFrame) -> DataFrame:
-    """IV17: base pairs of gapped alignments (hsp_id, genome_id, reference_id, qs, qe, ss, se,
-    qseq, sseq) as (s_pos, q_pos)."""
-    cols = F.arrays_zip(F.split("qseq", "").alias("q"), F.split("sseq", "").alias("t"))
-    long = hsps.select("hsp_id", "genome_id", "reference_id", "qs", "ss", F.when(F.col("qe") >= F.col("qs"), 1).otherwise(-1).alias("qd"),
-                       F.when(F.col("se") >= F.col("ss"), 1).otherwise(-1).alias("sd"), F.posexplode(cols).alias("i", "c")).where("c.q <> '' and c.t <> ''")
-    upto = Window.partitionBy("hsp_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    nth = lambda side: F.count_if(F.col("c." + side) != "-").over(upto) - 1
-    long = long.withColumn("qn", nth("q")).withColumn("sn", nth("t")).where("c.q <> '-' and c.t <> '-'")
-    return long.select("hsp_id", "genome_id", "reference_id", (F.col("qd") * F.col("sd")).alias("orientation"),
-                       (F.col("ss") + F.col("sd") * F.col("sn")).alias("s_pos"), (F.col("qs") + F.col("qd") * F.col("qn")).alias("q_pos"))
+BLOCKS = "hsp_id {hsp}, genome_id string, reference_id string, orientation int, s_lo bigint, s_hi bigint, q_lo bigint, q_step int"
+
 
+def aligned_blocks(hsps: DataFrame) -> DataFrame:
+    """IV17: gap-free blocks of gapped alignments (hsp_id, genome_id, reference_id, qs, qe, ss, se, qseq, sseq): subject
+    positions s_lo to s_hi, the query position of s_lo and the step (+1/-1) from there.
 
-def project_reference_cds(positions: DataFrame, reference_cds: DataFrame, cds: DataFrame, bin_size: int = 1000) -> DataFrame:
-    """IV17: carry reference genes through one alignment and compare with the called genes: one row for each aligned
+    An alignment is cut at its gaps within its own row, so rows grow with gaps and not with bases.  Columns that only one
+    of the two texts has are left out; an alignment without a text has no block.
+    """
+    rows = hsps.where("qseq is not null and sseq is not null").select(
+        "hsp_id", "genome_id", "reference_id", F.col("qs").cast("bigint"), F.col("ss").cast("bigint"),
+        F.when(F.col("qe") >= F.col("qs"), 1).otherwise(-1).alias("qd"), F.when(F.col("se") >= F.col("ss"), 1).otherwise(-1).alias("sd"), "qseq", "sseq")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                n = min(len(row.qseq), len(row.sseq))
+                q, t = (np.frombuffer(x[:n].encode("ascii", "replace"), np.uint8) != ord("-") for x in (row.qseq, row.sseq))
+                edges = np.flatnonzero(np.diff((q & t).astype(np.int8), prepend=0, append=0))
+                first, size = edges[::2], edges[1::2] - edges[::2]
+                if not len(first):
+                    continue
+                # bases of each text before the columns in which blocks begin
+                s = row.ss + row.sd * (np.cumsum(t, dtype=np.int64)[first] - 1)
+                x = row.qs + row.qd * (np.cumsum(q, dtype=np.int64)[first] - 1)
+                last = size - 1
+                forward = row.sd > 0
+                yield pd.DataFrame({
+                    "hsp_id": row.hsp_id, "genome_id": row.genome_id, "reference_id": row.reference_id, "orientation": row.qd * row.sd,
+                    "s_lo": s if forward else s - last, "s_hi": s + last if forward else s,
+                    "q_lo": x if forward else x + row.qd * last, "q_step": row.qd * row.sd})
+
+    return rows.mapInPandas(cut, BLOCKS.format(hsp=rows.schema["hsp_id"].dataType.simpleString()))
+
+
+def project_reference_cds(blocks: DataFrame, reference_cds: DataFrame, cds: DataFrame, bin_size: int = 1000) -> DataFrame:
+    """IV17: carry reference genes through the blocks of one alignment and compare with the called genes: one row for each aligned
     genome and gene of its reference, unmapped ones too.
 
     reference_cds: reference_id, gene, rs, re, rstrand (+1/-1); cds: genome_id, model_id, s, e, strand.
     """
-    genes = iv.explode_bins(reference_cds, "rs", "re", bin_size, "bin")
-    placed = positions.withColumn("bin", iv.bin_of(F.col("s_pos"), bin_size)).join(genes, ["reference_id", "bin"]).where("s_pos between rs and re")
+    placed = iv.overlap_join(blocks, reference_cds, ["reference_id"], ("s_lo", "s_hi"), ("rs", "re"), bin_size)
+    at = lambda place: F.max(F.when(F.col(place).between(F.col("s_lo"), F.col("s_hi")), F.col("q_lo") + F.col("q_step") * (F.col(place) - F.col("s_lo"))))
     whole = placed.groupBy("genome_id", "reference_id", "gene", "rs", "re", "rstrand", "hsp_id", "orientation").agg(
-        F.count("*").alias("n"), F.max(F.when(F.col("s_pos") == F.col("rs"), F.col("q_pos"))).alias("q0"),
-        F.max(F.when(F.col("s_pos") == F.col("re"), F.col("q_pos"))).alias("q1")).where("n = re - rs + 1")
+        F.sum("overlap").alias("n"), at("rs").alias("q0"), at("re").alias("q1")).where("n = re - rs + 1")
     shot = F.struct(F.least("q0", "q1").alias("s"), F.greatest("q0", "q1").alias("e"), (F.col("rstrand") * F.col("orientation")).alias("d"))
     per_gene = whole.groupBy("genome_id", "reference_id", "gene", "rs", "re").agg(F.min(shot).alias("lo"), F.max(shot).alias("hi"))
     single = per_gene.where("lo = hi").select("genome_id", "reference_id", "gene", "rs", "re", F.col("lo.s").alias("qs"), F.col("lo.e").alias("qe"),
                                               F.when(F.col("lo.d") == 1, "+").otherwise("-").alias("strand"))
     hits = iv.overlap_join(single, cds.select("genome_id", "model_id", "s", "e", "strand"), ["genome_id", "strand"], ("qs", "qe"), ("s", "e")).groupBy("genome_id", "reference_id", "gene").agg(
         F.count("*").alias("hits"), F.bool_or((F.col("s") == F.col("qs")) & (F.col("e") == F.col("qe"))).alias("exact"))
-    aligned = positions.select("genome_id", "reference_id").distinct()
+    aligned = blocks.select("genome_id", "reference_id").distinct()
     out = aligned.join(reference_cds.select("reference_id", "gene", "rs", "re"), "reference_id").join(
         per_gene.select("genome_id", "reference_id", "gene", (F.col("lo") != F.col("hi")).alias("ambiguous"), F.col("lo.s").alias("query_start"), F.col("lo.e").alias("query_end")),
         ["genome_id", "reference_id", "gene"], "left").join(hits, ["genome_id", "reference_id", "gene"], "left")

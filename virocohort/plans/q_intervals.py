@@ -227,7 +227,7 @@ select reference_id genome_id, reference_id, gene, qs query_start, qe query_end,
 def iv17(spark, sf):
     calls = load(spark, sf, "calls")
     own = calls.where("provider = 'phanotate'")
-    return sc.project_reference_cds(sc.aligned_positions(reference_alignments(spark, sf)), spark.sql(IV17_GENES, calls=calls), own).select(
+    return sc.project_reference_cds(sc.aligned_blocks(reference_alignments(spark, sf)), spark.sql(IV17_GENES, calls=calls), own).select(
         "genome_id", "reference_id", "gene", F.col("query_start").cast("bigint").alias("query_start"), F.col("query_end").cast("bigint").alias("query_end"), "status")
 
 
