@@ -81,8 +81,8 @@ def compare_models(a: DataFrame, b: DataFrame) -> DataFrame:
     """MT03: relation of every model of two methods, one kind of relation after the other.
 
     Within a kind, models of ``a`` in order of place take a partner if exactly one is still free; with several, the last
-    two kinds call the model complex.  Partners are used up, so each kind is settled in rounds of joins (``single_choice``)
-    over overlapping pairs alone; what is left over is complex where it overlaps an unused model, or one-sided.
+    two kinds call the model complex.  Partners are used up, so each kind is settled over sorted blocks (``single_choice``)
+    of overlapping pairs alone; what is left over is complex where it overlaps an unused model, or one-sided.
     """
     side = lambda df, x: df.select("genome_id", F.col("model_id").alias(x), *[F.col(c).alias(c + x) for c in ("s", "e", "strand")])
     pairs = iv.overlap_join(side(a, "p"), side(b, "d"), ["genome_id"], ("sp", "ep"), ("sd", "ed"))
@@ -114,7 +114,7 @@ def greedy_matches(ref: DataFrame, pred: DataFrame) -> DataFrame:
     edges = pairs.where((stop("p") == stop("d")) | (share >= 0.5))
     rank = F.struct((stop("p") == stop("d")).alias("a"), (start("p") == start("d")).alias("b"), share.alias("c"), F.col("overlap").alias("o"),
                     (-F.abs(start("p") - start("d"))).alias("f"), F.col("p").alias("g"), F.col("d").alias("h"))
-    return mutual_best(edges.select("genome_id", "p", "d", rank.alias("rank"))).select("genome_id", F.col("p").alias("ref_id"), F.col("d").alias("pred_id"))
+    return mutual_best(edges.select("genome_id", "p", "d", rank.alias("rank"), F.col("sp").alias("place"))).select("genome_id", F.col("p").alias("ref_id"), F.col("d").alias("pred_id"))
 
 
 def stop_comparison(pred: DataFrame, ref: DataFrame) -> DataFrame:
