@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +21,62 @@ from virocohort.session import cut_lineage
 PRIMARY = "phanotate"
 
 
+def overlap_links(spans: DataFrame, size: int = iv.DEFAULT_BIN, min_bp: int = 30, min_reciprocal: float = 0.5, floor: float = 0.1) -> DataFrame:
+    """Links (u, v) with the components of all meaningful overlaps (``intervals.meaningful``) but at most one a span and bin.
+
+    ``spans``: genome_id, s, e, node; distinct intervals, so the axis bounds how many meet in a bin.  A bin is swept by start: a
+    span is compared with the earlier ones that reach it and joins their components; each is linked to the first of its component.
+    """
+    def links(place: int, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        label, size_of = np.arange(len(s)), e - s + 1
+        later = np.flatnonzero((s - 1) // size == place)  # a pair belongs to the bin of its later start
+        for part in np.split(later, range(256, len(later), 256)):
+            reach = part[-1] + 1 if len(part) else 0
+            shared = np.minimum(e[:reach], e[part, None]) - s[part, None] + 1
+            share = shared / np.maximum(size_of[:reach], size_of[part, None])
+            meets = ((shared >= min_bp) & (share >= floor)) | ((shared > 0) & (share >= min_reciprocal))
+            for i, row in zip(part, meets, strict=True):
+                near = np.flatnonzero(row[:i])
+                if not len(near):
+                    continue
+                labels = label[near]
+                label[i] = labels[0]
+                if (labels != labels[0]).any():
+                    label[:i][np.isin(label[:i], np.unique(labels))] = labels[0]
+        _, first, inverse = np.unique(label, return_index=True, return_inverse=True)
+        first = first[inverse]
+        linked = np.flatnonzero(first != np.arange(len(s)))
+        return linked, first[linked]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces() -> Iterator[tuple[tuple, pa.RecordBatch]]:
+            for batch in batches:
+                place = list(zip(batch.column("genome_id").to_pylist(), batch.column("bin").to_pylist(), strict=True))
+                cuts = [0, *(i for i in range(1, len(place)) if place[i] != place[i - 1]), len(place)]
+                yield from ((place[a], batch.slice(a, b - a)) for a, b in itertools.pairwise(cuts) if b > a)
+
+        for (_, place), held in itertools.groupby(pieces(), key=lambda x: x[0]):
+            here = pa.Table.from_batches([x[1] for x in held]).combine_chunks()
+            node = pa.concat_arrays(here["node"].chunks)
+            ends = links(place, here["s"].to_numpy(), here["e"].to_numpy())
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(x)) for x in ends], names=["u", "v"])
+
+    binned = iv.explode_bins(spans.select("genome_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), "node"), "s", "e", size)
+    kind = spans.schema["node"].dataType.simpleString()
+    dealt = binned.repartition("genome_id", "bin").sortWithinPartitions("genome_id", "bin", "s", "e", "node")
+    return dealt.select("genome_id", "bin", "s", "e", "node").mapInArrow(run, f"u {kind}, v {kind}")
+
+
 def locus_members(models: DataFrame) -> DataFrame:
-    """IV04: the locus of every model: components of meaningful overlap within a genome."""
-    pairs = iv.self_overlap(models.select("genome_id", "model_id", "s", "e"), ["genome_id"], "model_id")
-    linked = pairs.where(iv.meaningful(F.col("overlap"), iv.length(F.col("s_a"), F.col("e_a")), iv.length(F.col("s_b"), F.col("e_b"))))
-    edges = linked.select(F.col("model_id_a").alias("u"), F.col("model_id_b").alias("v"))
-    return cut_lineage(connected_components(models, edges, "model_id"))  # read by every later step
+    """IV04: the locus of every model: components of meaningful overlap within a genome.
+
+    Models of one extent overlap wholly and are one node; links grow with the nodes, not with the overlapping pairs.
+    """
+    extent = ["genome_id", "s", "e"]
+    spans = cut_lineage(models.where("e >= s and genome_id is not null").groupBy(*extent).agg(F.min("model_id").alias("node")))
+    labels = connected_components(spans, overlap_links(spans), "node").select(*extent, "component")
+    members = models.join(labels, extent, "left").withColumn("component", F.coalesce("component", "model_id"))
+    return cut_lineage(members.select(*models.columns, "component"))  # read by every later step
 
 
 def loci(members: DataFrame) -> DataFrame:
