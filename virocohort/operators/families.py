@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from virocohort.functions.labels import unresolved
 from virocohort.operators.components import connected_components
-from virocohort.operators.ordering import ordinal, running_total, with_neighbours
+from virocohort.operators.ordering import global_rank, ordinal, running_total, with_neighbours
 from virocohort.operators.set_similarity import linked_components
 from virocohort.rules.fusion import UNKNOWN_STATES
 from virocohort.session import cut_lineage
@@ -176,11 +176,10 @@ def unresolved_priority(enriched: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def ranked(rows: DataFrame, order: Sequence[Column], k: int | None = None) -> DataFrame:
-    """Global rank.  With ``k`` only the leading rows are numbered; without it rows are numbered by
-    genome-count bands, so no task sorts the whole table."""
+    """Global rank in a total order.  With ``k`` only the leading rows are numbered."""
     if k is not None:
         return rows.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    return running_total(rows.withColumn("__band", -F.col("genome_count")), [], "__band", order, F.lit(1), "rank", 1).drop("__band")
+    return global_rank(rows, order)
 
 
 def external_validation(families: DataFrame, hits: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from virocohort.session import cut_lineage
+
 AXIS_BIN = 20_000
 INDEX_BLOCK = 1024
 
@@ -43,6 +45,20 @@ def ordinal(df: DataFrame, keys: Sequence[str], axis: str, order: Sequence[str],
     return running_total(df, keys, axis, order, F.lit(1), name, size).withColumn(name, F.col(name) - 1)
 
 
+def global_rank(rows: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """1-based rank of each row in a total ``order`` of the whole table.
+
+    The sort deals rows to ranges by splitters from a sample, so equal leading columns don't crowd a task; a row's rank is its
+    place in its range plus the rows of the ranges before (a table of one row a range).
+    """
+    placed = cut_lineage(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__range", F.shiftright("__at", 33))  # the id's upper bits are the range, the others count its rows
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(before, "__range").withColumn(name, place.cast("bigint")).drop("__at", "__range", "__before")
+
+
 def with_neighbours(df: DataFrame, keys: Sequence[str], idx: str, reach: int,
                     build: Callable[[Callable[[int, int], Window]], dict[str, Column]],
                     block: int = INDEX_BLOCK) -> DataFrame:
