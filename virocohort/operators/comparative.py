@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from virocohort.functions import sequence as sq
 from virocohort.operators.families import top_per_group
 from virocohort.operators.intervals import best_hsp_per_base
+from virocohort.session import cut_lineage
 
 SPECIES_PERCENT = 95.0
 
@@ -79,11 +80,14 @@ def annotated_references(hsps: DataFrame, lengths: DataFrame, min_coverage: floa
 
 
 def sketch(contigs: DataFrame, k: int = 16, size: int = 1000) -> DataFrame:
-    """CG01: the ``size`` smallest hashes (48 bits of md5) of canonical words of each genome, whole sequences read."""
+    """CG01: the ``size`` smallest hashes (48 bits of md5) of canonical words of each genome, whole sequences read.
+
+    Written once: the words are cut and hashed once for all that reads a sketch, and no join sends it through the driver.
+    """
     words = sq.explode_words(contigs.select("genome_id", F.upper("seq").alias("seq")), "seq", k).where(F.col("word").rlike("^[ACGT]+$"))
     word = F.least("word", sq.reverse_complement(F.col("word")))
     hashes = words.select("genome_id", word.alias("word")).distinct().select("genome_id", F.conv(F.substring(F.md5("word"), 1, 12), 16, 10).cast("bigint").alias("h")).distinct()
-    return top_per_group(hashes, ["genome_id"], [F.asc("h")], size, "r")
+    return cut_lineage(top_per_group(hashes, ["genome_id"], [F.asc("h")], size, "r")).hint("merge")
 
 
 def sketch_distances(samples: DataFrame, references: DataFrame, k: int = 16, size: int = 1000) -> DataFrame:
