@@ -1,6 +1,7 @@
 """Interval operators against brute force, including one genome that holds most rows."""
 
 import random
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
@@ -143,3 +144,24 @@ def test_one_long_alignment_makes_few_rows(spark):
     assert df.select(F.explode(iv.dyadic_blocks(F.col("qs"), F.col("qe")))).count() < 100
     r = iv.best_hsp_per_base(df, ["g"]).first()
     assert r.aligned_bases == 5_000_000 and abs(r.identical - (4_999_000 * 0.8 + 1000)) < 1e-6
+
+
+def test_identity_does_not_depend_on_row_order(spark):
+    """Thirds and sevenths of many alignments: the sum is the nearest double of the true one, however the rows are dealt."""
+    rows = [("a", 3 * i, 3 * i + 2, 3 + 4 * (i % 2), 1 + i % 2, float(i % 5)) for i in range(1, 4001)]
+    want = float(sum(Fraction(3 * r[4], r[3]) for r in rows))
+    for n in (1, 7):
+        df = spark.createDataFrame(rows, "g string, qs long, qe long, aln_len long, nident long, score double").repartition(n)
+        assert iv.best_hsp_per_base(df, ["g"]).first().identical == want
+
+
+def test_best_alignment_per_base_moves_few_rows(spark):
+    """Two exchanges of the alignments and one of the sums: no row a tile, segment or level."""
+    df = spark.createDataFrame([("a", 1, 50, 50, 40, 9.0)], "g string, qs long, qe long, aln_len long, nident long, score double")
+    assert iv.best_hsp_per_base(df, ["g"])._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 3
+
+
+def test_missing_scores_are_the_worst(spark):
+    rows = [("a", 1, 10, 10, 5, None), ("a", 3, 4, 2, 2, 1.0), ("a", 8, 12, 5, None, 2.0), ("a", 20, 21, 0, 0, 9.0)]
+    r = iv.best_hsp_per_base(spark.createDataFrame(rows, "g string, qs long, qe long, aln_len long, nident long, score double"), ["g"]).first()
+    assert (r.identical, r.aligned_bases) == (4.5, 12)

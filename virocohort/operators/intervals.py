@@ -7,10 +7,16 @@ bin of the later start, so no ``distinct`` follows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator, Sequence
+from decimal import Context, Decimal
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_BIN = 1000
 
@@ -166,31 +172,88 @@ def dyadic_blocks(start: Column, end: Column) -> Column:
     return F.array_compact(F.flatten(F.transform(levels, at)))
 
 
-def best_hsp_per_base(hsps: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _best_of_bin(rows: Iterable[tuple]) -> tuple[int, int]:
+    """Identity in units of 10^-18 and bases of one bin's alignments (start, end, score, qs, qe, aln_len, nident) in order of start.
+
+    ``waiting`` holds alignments that may still be the best of a base: the worst first, each reaching further than the better ones,
+    so it is no longer than the bin.
+    """
+    identical = bases = at = 0
+    waiting: list[tuple] = []
+
+    def settle(until: int | None) -> None:
+        nonlocal identical, bases, at
+        while waiting and (until is None or at < until):
+            (*_, aln_len, nident), end = waiting[-1]
+            last = end if until is None else min(end, until - 1)
+            if last >= at:
+                n = last - at + 1
+                identical += (2 * n * max(nident, 0) * 10**18 + aln_len) // (2 * aln_len)
+                bases += n
+                at = last + 1
+            if end < at:
+                waiting.pop()
+
+    for start, end, score, qs, qe, aln_len, nident in rows:
+        settle(start)
+        at = start
+        place = (0, 0.0) if score is None else (2, 0.0) if score != score else (1, score)
+        rank = (place, qs, qe, aln_len, -1 if nident is None else nident)
+        i = bisect_left(waiting, rank, key=itemgetter(0))
+        if i < len(waiting) and waiting[i][1] >= end:
+            continue
+        low = i
+        while low and waiting[low - 1][1] <= end:
+            low -= 1
+        waiting[low:i] = [(rank, end)]
+    settle(None)
+    return identical, bases
+
+
+def best_hsp_per_base(hsps: DataFrame, keys: Sequence[str], size: int = 4096) -> DataFrame:
     """IV16: every query base belongs to its best alignment; identity and coverage per key.
 
     Input columns: qs, qe (ordered), aln_len, nident, score.  Ties fall to the larger start, end,
     length and identical count.
 
-    The axis is cut at alignment borders, so a segment has one best alignment.  An alignment becomes the few aligned blocks that
-    tile it, a block keeps its best alignment, and a segment asks the blocks of each level that hold its first base:
-    rows grow with alignments and the logarithm of their length, whatever their length and depth.
+    Alignments are clipped to coordinate bins, which makes bins independent; of equal clipped extents the best is kept before
+    a bin meets, so a bin has a bounded number of rows whatever the depth.  A bin is swept once in order of start.  Identity is added
+    up in decimals, so it does not depend on the order of the rows.
     """
-    rank = F.struct("score", F.col("qs").alias("rs"), F.col("qe").alias("re"), "aln_len", "nident")
-    real = hsps.where(F.col("aln_len") > 0).select(*keys, "qs", "qe", rank.alias("h"))
-    tiles = real.withColumn("tile", F.explode(dyadic_blocks(F.col("qs"), F.col("qe"))))
-    best = tiles.groupBy(*keys, "tile.level", "tile.block").agg(F.max("h").alias("h"))
-    borders = real.select(*keys, F.explode(F.array(F.col("qs"), F.col("qe") + 1)).alias("at")).distinct()
-    segments = with_next(borders, keys, "at", "next").where("next is not null")
-    longest = real.groupBy(*keys).agg(F.max(F.col("qe") - F.col("qs") + 1).alias("longest"))
-    levels = F.sequence(F.lit(0), F.floor(F.log2(F.col("longest").cast("double"))).cast("int"))
-    asks = segments.join(longest, list(keys)).select(*keys, "at", (F.col("next") - F.col("at")).alias("bases"), F.explode(levels).alias("level"))
-    asks = asks.withColumn("block", F.floor(F.col("at") / F.pow(F.lit(2.0), "level")).cast("bigint"))
-    held = asks.join(best, [*keys, "level", "block"]).groupBy(*keys, "at").agg(F.max("h").alias("h"), F.first("bases").alias("bases"))
-    return held.groupBy(*keys).agg(
-        F.sum(F.col("bases") * (F.col("h.nident") / F.col("h.aln_len"))).alias("identical"),
-        F.sum("bases").alias("aligned_bases"),
-    )
+    keys = list(keys)
+    real = explode_bins(hsps.where(F.col("aln_len") > 0), "qs", "qe", size, "__bin")
+    lo = F.col("__bin") * size + 1
+    rank = F.struct(F.col("score").cast("double").alias("score"), "qs", "qe", F.col("aln_len").cast("bigint").alias("aln_len"), F.col("nident").cast("bigint").alias("nident"))
+    clipped = real.select(*keys, "__bin", F.greatest(F.col("qs"), lo).alias("__s"), F.least(F.col("qe"), lo + (size - 1)).alias("__e"), rank.alias("h"))
+    best = clipped.groupBy(*keys, "__bin", "__s", "__e").agg(F.max("h").alias("h"))
+    kinds = {f.name: f.dataType for f in hsps.schema}
+    told = T.StructType([*[T.StructField(k, kinds[k]) for k in keys], T.StructField("identical", T.DecimalType(38, 18)), T.StructField("bases", T.LongType())])
+    exact = Context(prec=38)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list = []
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                if not types:
+                    types.extend([*[batch.schema.field(k).type for k in keys], pa.decimal128(38, 18), pa.int64()])
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        def packed(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=told.names)
+
+        out, n = [], len(keys)
+        for group, of_bin in groupby(rows(), key=lambda r: r[:n + 1]):
+            identical, bases = _best_of_bin(r[n + 1:] for r in of_bin)
+            out.append((*group[:n], exact.scaleb(Decimal(identical), -18), bases))
+            if len(out) == 1 << 14:
+                yield packed(out)
+                out = []
+        if out:
+            yield packed(out)
+
+    swept = best.select(*keys, "__bin", "__s", "__e", "h.*").repartition(*keys, "__bin").sortWithinPartitions(*keys, "__bin", "__s").mapInArrow(run, told)
+    return swept.groupBy(*keys).agg(F.sum("identical").cast("double").alias("identical"), F.sum("bases").alias("aligned_bases"))
 
 
 def overlap_kind(ls: Column, le: Column, rs: Column, re: Column) -> Column:
