@@ -93,6 +93,52 @@ class Marks:
         return out
 
 
+def labels_of(labelled: DataFrame) -> str:
+    """A shared folder with a label for row numbers (two columns of integers): for each partition a file of places and labels."""
+    folder = shared_path(labelled.sparkSession, "labels")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def put() -> None:
+            put_file(f"{folder}/{part}", [np.concatenate(held).astype("<i8").tobytes()])
+
+        for batch in batches:
+            parts = batch.column("part").to_numpy()
+            both = np.stack([batch.column("place").to_numpy(), batch.column("label").to_numpy()], axis=1)
+            cuts = [*np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]]), len(parts)] if len(parts) else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if parts[a] != part and held:
+                    put()
+                    held = []
+                part = int(parts[a])
+                held.append(both[a:b])
+        if held:
+            put()
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], names=["done"])
+
+    number, label = (F.col(c) for c in labelled.columns)
+    places = labelled.select(F.shiftright(number, 33).alias("part"), number.bitwiseAND((1 << 33) - 1).alias("place"), label.alias("label"))
+    places.repartition("part").sortWithinPartitions("part", "place").mapInArrow(write, "done long").agg(F.count("*")).collect()
+    return folder
+
+
+class Labels:
+    """Tells the labels of row numbers in a folder of ``labels_of``, which has them all; holds those of one partition."""
+
+    def __init__(self, folder: str):
+        self.folder, self.part, self.table = folder, None, np.zeros((0, 2), "<i8")
+
+    def __call__(self, numbers: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(numbers), np.int64)
+        for part in np.unique(numbers >> 33):
+            if part != self.part:
+                self.part, self.table = part, np.frombuffer(read_file(f"{self.folder}/{part}"), "<i8").reshape(-1, 2)
+            at = np.flatnonzero(numbers >> 33 == part)
+            out[at] = self.table[np.searchsorted(self.table[:, 0], numbers[at] & ((1 << 33) - 1)), 1]
+        return out
+
+
 def keep_rows(rows: DataFrame, row: str, kept: DataFrame) -> DataFrame:
     """The rows whose numbers (as ``numbered`` makes them, none null) are in the one column of ``kept``.
 
