@@ -124,7 +124,7 @@ def labels_of(labelled: DataFrame) -> str:
 
 
 class Labels:
-    """Tells the labels of row numbers in a folder of ``labels_of``, which has them all; holds those of one partition."""
+    """Tells the labels of row numbers in a folder of ``labels_of``, the number itself where it has none; holds those of one partition."""
 
     def __init__(self, folder: str):
         self.folder, self.part, self.table = folder, None, np.zeros((0, 2), "<i8")
@@ -135,7 +135,12 @@ class Labels:
             if part != self.part:
                 self.part, self.table = part, np.frombuffer(read_file(f"{self.folder}/{part}"), "<i8").reshape(-1, 2)
             at = np.flatnonzero(numbers >> 33 == part)
-            out[at] = self.table[np.searchsorted(self.table[:, 0], numbers[at] & ((1 << 33) - 1)), 1]
+            out[at] = numbers[at]
+            if len(self.table):
+                place = numbers[at] & ((1 << 33) - 1)
+                near = np.minimum(np.searchsorted(self.table[:, 0], place), len(self.table) - 1)
+                met = self.table[near, 0] == place
+                out[at[met]] = self.table[near[met], 1]
         return out
 
 
