@@ -137,3 +137,15 @@ def test_audit_query_of_a_record_without_replacements(spark, tmp_path):
     spark.createDataFrame([(54240,), (1,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
     got = {r.genome_id: r.replaced_symbols for r in catalogue.QUERIES["sq01_normalise_audit"](spark, str(tmp_path)).collect()}
     assert got["G54240"] == ":0" and got["G1"] not in ("", ":0")
+
+
+def test_terminal_repeats_make_no_row_a_position(spark):
+    """A repeat with copies between the ends; overlapping anchors; nothing is exploded by position or joined."""
+    r = random.Random(9)
+    body = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    end = body(30)
+    rows = [("D", end + body(100) + end + body(50) + end), ("A", "A" * 100), ("N", body(200)), ("short", "ACGT"), ("none", None)]
+    out = sq.terminal_repeats(spark.createDataFrame(rows, "genome_id string, seq string"))
+    got = {(x.genome_id, x.code): (x.length_nt, x.internal_copies) for x in out.collect()}
+    assert got[("D", "DTR_CANDIDATE")] == (30, "131") and got[("A", "DTR_CANDIDATE")] == (50, "") and {k[0] for k in got} == {"D", "A"}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()

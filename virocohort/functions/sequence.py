@@ -1,11 +1,13 @@
-"""Sequence projections (SQ01-SQ17): column in, column out, inside whole-stage codegen."""
+"""Sequence projections (SQ01-SQ17): column in, column out; codons are read by whole Arrow batches."""
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from virocohort.operators.ordering import running_total
 from virocohort.rules import genetics as g
@@ -302,6 +304,19 @@ def _shared_prefix(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     return df.withColumn(name, F.when(F.col("__k") == 0, whole).otherwise(part)).drop("__eq", "__k", "__x", "__y", "__j")
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _places(seq: pa.Array, word: pa.Array) -> pa.Array:
+    """All 0-based places of each row's word, overlapping ones too."""
+    out = []
+    for s, w in zip(seq.to_pylist(), word.to_pylist(), strict=True):
+        at, found = s.find(w), []
+        while at >= 0:
+            found.append(at)
+            at = s.find(w, at + 1)
+        out.append(found)
+    return pa.array(out, pa.list_(pa.int32()))
+
+
 def terminal_repeats(contigs: DataFrame, minimum: int = 20, maximum: int = 10_000) -> DataFrame:
     """SQ17: longest exact direct (DTR) and inverted (ITR) end repeat of each contig.
 
@@ -312,25 +327,16 @@ def terminal_repeats(contigs: DataFrame, minimum: int = 20, maximum: int = 10_00
     half = F.least(F.lit(maximum), F.floor(F.length("seq") / 2).cast("int"))
     base = contigs.select("genome_id", F.upper("seq").alias("seq")).withColumn("half", half).where(F.col("half") >= minimum)
     base = base.withColumn("anchor", F.substring("seq", 1, minimum)).where(F.col("anchor").rlike("^[ACGT]+$"))
-    anchors = explode_words(base.select("genome_id", "anchor", "seq"), "seq", minimum).where(
-        F.col("word") == F.col("anchor")).select("genome_id", "pos")
-    placed = base.join(anchors, "genome_id")
-    size = F.length("seq") - F.col("pos")
-    head = F.substring("seq", F.lit(1), size)
-    dtr = (
-        placed.where((size <= F.col("half")) & (head == F.substring("seq", F.col("pos") + 1, size)) & head.rlike("^[ACGT]+$"))
-        .groupBy("genome_id").agg(F.max(size).alias("length_nt")).withColumn("code", F.lit("DTR_CANDIDATE"))
-    )
-    ends = base.select("genome_id", F.expr("left(seq, half)").alias("a"), reverse_complement(F.expr("right(seq, half)")).alias("b"))
-    itr = _shared_prefix(ends, "a", "b", "length_nt").where(F.col("length_nt") >= minimum).select(
-        "genome_id", "length_nt", F.lit("ITR_CANDIDATE").alias("code"))
-    repeats = dtr.unionByName(itr)
+    base = base.withColumn("places", _places("seq", "anchor"))
+    size = lambda p: F.length("seq") - p
+    head = lambda p: F.substring("seq", F.lit(1), size(p))
+    ends = F.filter("places", lambda p: (size(p) <= F.col("half")) & (head(p) == F.substring("seq", p + 1, size(p))) & head(p).rlike("^[ACGT]+$"))
+    base = base.withColumn("dtr", (F.length("seq") - F.array_min(ends)).cast("int"))
+    base = base.withColumn("a", F.expr("left(seq, half)")).withColumn("b", reverse_complement(F.expr("right(seq, half)")))
+    base = _shared_prefix(base, "a", "b", "itr")
+    found = F.array(F.struct(F.lit("DTR_CANDIDATE").alias("code"), F.col("dtr").cast("int").alias("n")),
+                    F.struct(F.lit("ITR_CANDIDATE").alias("code"), F.when(F.col("itr") >= minimum, F.col("itr")).cast("int").alias("n")))
+    repeats = base.select("genome_id", "seq", "places", F.explode(found).alias("f")).select("genome_id", "seq", "places", "f.code", F.col("f.n").alias("length_nt")).where("length_nt is not null")
     n = F.col("length_nt")
-    inside = (F.col("pos") >= n) & (F.col("pos") + n <= F.length("seq") - n)
-    copies = (
-        placed.join(repeats, "genome_id")
-        .where(inside & (F.substring("seq", F.col("pos") + 1, n) == F.substring("seq", F.lit(1), n)))
-        .groupBy("genome_id", "code").agg(F.array_join(F.array_sort(F.collect_list(F.col("pos") + 1)), ";").alias("internal_copies"))
-    )
-    return repeats.join(copies, ["genome_id", "code"], "left").select(
-        "genome_id", "code", "length_nt", F.coalesce("internal_copies", F.lit("")).alias("internal_copies"))
+    copies = F.filter("places", lambda p: (p >= n) & (p + n <= F.length("seq") - n) & (F.substring("seq", p + 1, n) == F.substring("seq", F.lit(1), n)))
+    return repeats.select("genome_id", "code", "length_nt", F.array_join(F.transform(copies, lambda p: (p + 1).cast("string")), ";").alias("internal_copies"))
