@@ -139,6 +139,20 @@ def test_audit_query_of_a_record_without_replacements(spark, tmp_path):
     assert got["G54240"] == ":0" and got["G1"] not in ("", ":0")
 
 
+def test_codons_are_read_by_batches(spark):
+    """Equal to codon by codon: ambiguity codes, lower case, short, empty, null and odd rows, stops within and at the end."""
+    r = random.Random(4)
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(0, 40))) for letters in ("ACGT", "ACGTacgtn", "ACGTRYSWKMBDHVN-", "TAG") for _ in range(60)]
+    texts += [None, "", "A", "AT", "ATG", "TAA", "ATGTAA", "ATGTAATAA", "ATGéTAAC", "AT\nGTAACCC", "日本語ATG", "ATG TAA", " ATGTAA*"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    codons = F.filter(F.regexp_extract_all(F.upper("t"), F.lit("(.{3})")), lambda c: F.length(c) == 3)
+    slow = F.array_join(F.transform(codons, sq.residue), "")
+    rows = df.select("t", sq.residues(F.col("t")).alias("a"), slow.alias("b"), sq.translate(F.col("t")).alias("c"), F.regexp_replace(slow, r"\*$", "").alias("d")).collect()
+    assert [(x.t, x.a, x.c) for x in rows] == [(x.t, x.b, x.d) for x in rows]
+    plan = df.select(sq.translate(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambda" not in plan
+
+
 def test_terminal_repeats_make_no_row_a_position(spark):
     """A repeat with copies between the ends; overlapping anchors; nothing is exploded by position or joined."""
     r = random.Random(9)
