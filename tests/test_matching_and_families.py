@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from virocohort.operators import evaluation as mt
 from virocohort.operators import families as fm
 from virocohort.operators import reconcile as rc
+from virocohort.operators import set_similarity
 from virocohort.operators.evaluation import RELATION_ORDER
 
 
@@ -167,6 +168,40 @@ def test_similarity_families_equal_brute_force(spark, crowd, block):
     assert got == {f"m{i:04d}": least[c] for i, c in enumerate(want)}
 
 
+def test_families_write_no_substrings(spark, monkeypatch):
+    """Texts that share a third of themselves, and repetitive ones of their length: what is written grows with texts, not with their substrings."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n))
+    domain, written, whole = word(150), [], set_similarity.cut_lineage
+    texts = [domain + word(300) for _ in range(60)] + [word(k) * (450 // k) for k in range(3, 9)]
+
+    def kept(df):
+        table = whole(df)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(set_similarity, "cut_lineage", kept)
+    df = spark.createDataFrame([(f"m{i:02d}", t) for i, t in enumerate(texts)], "member_id string, text string").coalesce(2)
+    got = {r.component for r in fm.similarity_families(df, min_identity=0.5, crowd=8, counters=1 << 12).collect()}
+    assert len(got) == len(set(brute_families(texts, 0.5))) == len(texts)
+    assert max(written) <= 8 * len(texts) + 4 * set_similarity.SLICES, written
+
+
+def test_families_over_blocks_equal_brute_force(spark, monkeypatch):
+    """Blocks of some texts each, in one band of sizes and in several; repetitive texts have their own."""
+    monkeypatch.setattr(set_similarity, "FEW", 1)
+    texts = list(dict.fromkeys(family_texts()))
+    nodes = spark.createDataFrame([(f"m{i:04d}", t) for i, t in enumerate(texts)], "node string, text string")
+    got = {r.node: r.component for r in set_similarity.linked_components(nodes, 0.3, 0.5, letters=3000, counters=1 << 12)[0].collect()}
+    want = brute_families(texts)
+    least = {c: f"m{min(i for i, x in enumerate(want) if x == c):04d}" for c in set(want)}
+    assert got == {f"m{i:04d}": least[c] for i, c in enumerate(want)}
+
+
+def test_no_texts_no_families(spark):
+    assert fm.similarity_families(spark.createDataFrame([], "member_id string, text string")).collect() == []
+
+
 def test_a_longer_text_does_not_hide_a_link(spark):
     """S and S' belong together although a much longer text holds all of S."""
     rng = random.Random(9)
